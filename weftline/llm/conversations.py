@@ -23,7 +23,7 @@ from weftline.operators.instants import to_instants
 from weftline.operators.stage import salted_left_join, written
 from weftline.plans.instants import session_machines
 
-PIECE = "session string, key bigint, record string, parent bigint, ms bigint, role string, spoken boolean, fragment string, place bigint"
+PIECE = "session string, key string, record string, parent string, ms bigint, role string, spoken boolean, fragment string, place bigint"
 
 
 def chunk_fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,7 +35,7 @@ def chunk_fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for s, key, parent in zip(pdf["session"].array, pdf["key"].array, pdf["parent"].array):
             if s != session:
                 session, tails = s, {}
-            got = None if pd.isna(parent) else tails.pop(parent, None)
+            got = None if parent is None else tails.pop(parent, None)
             if got is None:
                 made += 1
                 got = (f"{chunk}-{made}", -1)
@@ -77,7 +77,7 @@ def assemble(records: DataFrame, chunks: int | None = None) -> DataFrame:
     without a turn, that do not begin with the user or end with the assistant, that hold a text of an unreadable role,
     or a record whose parent is nowhere in the table.
     """
-    h = lambda c: F.xxhash64(F.col(c))
+    h = lambda c: F.hex(F.xxhash64(F.col(c)))  # noqa: E731  # as text: pandas has no whole numbers beside nulls
     one = records.where(F.col("record").isNotNull()).groupBy("record").agg(*[F.min_by(c, "tie").alias(c) for c in ("session", "parent", "ms", "role", "spoken")], F.min("tie").alias("tie"))
     one = written(one)
     has_parent = one.where(F.coalesce(F.col("parent") != "", F.lit(False)) & F.col("session").isNotNull())
