@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import consensus, conversations, runs, splits
+from weftline.llm import consensus, conversations, runs, splits, subjects
 from weftline.sources.tables import table
 
 
@@ -53,5 +53,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return turns.select(part("session", 1).alias("src"), part("session", 2).alias("session_id"), "turn_no", part("record", 2).alias("message_key"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_reliability, p2_agreement, p3_found, p3_splits, p4_found, p4_runs, p7_found)}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d)
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(table(spark, d, "documents"), _subjects(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_reliability, p2_agreement, p3_found, p3_splits, p4_found, p4_runs, p7_found, p10_found, p10_composition)}
 SQL: dict[str, str] = {}
