@@ -21,53 +21,102 @@ from pyspark.sql import functions as F
 from weftline.operators.stage import written
 
 WORDS = 4
-ROUNDS = 3
+ROUNDS = 2
 
 
 def statements(documents: DataFrame) -> DataFrame:
-    """(doc_id, sid, opens, words) of each statement, in the order of no importance.
+    """(doc_id, no, sid, opens, whole, seg, part) of each statement, a row per part of it between numbers and punctuation.
 
-    Line marks of speakers, lists and headings are cut off and remarks in brackets left out. ``words`` are the words in
-    lower case; numbers, ids, paths and punctuation are '|', which no phrase crosses. ``sid`` is a hash of the words,
-    ``opens`` tells whether the statement opens its line. Null, empty and blank texts have no statements.
+    Line marks of speakers, lists and headings are cut off and remarks in brackets left out. Parts are in lower case;
+    no phrase crosses numbers, ids, paths and punctuation. ``sid`` and ``seg`` are 64-bit hashes of the statement and
+    of the part, ``no`` numbers the statements of a document, ``opens`` tells whether one opens its line, ``whole``
+    whether it ends as a sentence. Null, empty and blank texts have no statements.
     """
     text = F.regexp_replace("text", r"(?m)^[ \t]*(?:#+ .*|(?:user|assistant|system|human|ai): |[-*] )", "")
     text = F.regexp_replace(text, r"\([^()\n]*\)", " ")
-    line = documents.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.split(text, r"[\r\n]+")).alias("line"))
-    one = line.select("doc_id", F.posexplode(F.split("line", r"(?<=[.?!])\s+")).alias("pos", "s")).where(F.col("s").rlike(r"\p{L}"))
-    s = F.lower("s")
-    s = F.regexp_replace(s, r"\S*[\\/]\S*", " | ")
-    s = F.regexp_replace(s, r"\S*\d\S*", " | ")
-    s = F.regexp_replace(s, r"[^\p{L}\p{M}'’\-\s|]", " | ")
-    words = F.array_compact(F.filter(F.split(F.trim(s), r"\s+"), lambda w: w != ""))
-    out = one.select("doc_id", (F.col("pos") == 0).alias("opens"), F.col("s").rlike(r"[.?!]\s*$").alias("whole"), words.alias("words"))
-    return out.where(F.exists("words", lambda w: w != "|")).withColumn("sid", F.md5(F.array_join("words", " ")))
+    line = documents.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split(text, r"[\r\n]+")).alias("row", "line"))
+    one = line.select("doc_id", "row", F.posexplode(F.split("line", r"(?<=[.?!])\s+")).alias("pos", "s")).where(F.col("s").rlike(r"\p{L}"))
+    s = F.regexp_replace(F.lower("s"), r"\S*[\\/0-9]\S*", "|")
+    s = F.regexp_replace(s, r"\s+", " ")
+    s = F.trim(F.regexp_replace(s, r" ?[^\p{L}\p{M}'’\- ]+ ?", "|"))
+    out = one.select("doc_id", (F.col("row") * F.lit(1_000_000) + F.col("pos")).alias("no"), (F.col("pos") == 0).alias("opens"), F.col("s").rlike(r"[.?!]\s*$").alias("whole"), s.alias("s"))
+    out = out.withColumn("sid", F.xxhash64("s")).select("*", F.explode(F.array_distinct(F.split("s", r"\|"))).alias("part")).drop("s")
+    return out.where(F.col("part").rlike(r"\p{L}")).withColumn("seg", F.xxhash64("part"))
 
 
 def phrases(distinct: DataFrame) -> DataFrame:
-    """(sid, start, stop, phrase): every phrase of each distinct statement (sid, words)."""
+    """(seg, start, stop, phrase): every phrase of each distinct part (seg, part)."""
+    distinct = distinct.select("seg", F.split("part", " ").alias("words"))
     n = F.size("words")
-    cut = [F.transform(F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>")), lambda i, k=k: F.struct(i.alias("start"), (i + (k - 1)).alias("stop"), F.array_join(F.slice("words", i, F.lit(k)), " ").alias("phrase"))) for k in range(1, WORDS + 1)]
-    each = distinct.select("sid", F.explode(F.filter(F.concat(*cut), lambda p: ~F.contains(p["phrase"], F.lit("|")))).alias("p"))
-    return each.select("sid", "p.start", "p.stop", "p.phrase")
 
+    def of_length(k: int) -> Column:
+        starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), (i + (k - 1)).alias("stop"), F.array_join(F.slice("words", i, F.lit(k)), " ").alias("phrase")))
 
-def uncovered(marks: DataFrame) -> DataFrame:
-    """``marks`` (sid, start, stop, subject, ...) that no longer mark of the same statement covers.
+    each = distinct.select("seg", F.explode(F.concat(*[of_length(k) for k in range(1, WORDS + 1)])).alias("p"))
+    return each.select("seg", "p.start", "p.stop", "p.phrase")
+
+
+def _spans(marks: DataFrame, *fields: str) -> DataFrame:
+    """(seg, all): the marks of a part as one array: at most WORDS marks per word of one sentence."""
+    return marks.groupBy("seg").agg(F.collect_list(F.struct("start", "stop", *fields)).alias("all"))
+
+
+def _covered(x: Column) -> Column:
+    """True where a longer mark in the array ``all`` covers the phrase ``x`` (start, stop)."""
+    longer = lambda y: (y["start"] <= x["start"]) & (y["stop"] >= x["stop"]) & ((y["stop"] - y["start"]) > (x["stop"] - x["start"]))
+    return F.coalesce(F.exists("all", longer), F.lit(False))
+
+
+def standing(marks: DataFrame) -> DataFrame:
+    """(seg, subject) of ``marks`` (seg, start, stop, subject, score): those that no longer mark covers and no stronger mark of another subject overlaps."""
+
+    def beaten(x: Column) -> Column:
+        stronger = lambda y: (y["start"] <= x["stop"]) & (y["stop"] >= x["start"]) & (y["subject"] != x["subject"]) & (y["score"] > x["score"])
+        return F.exists("all", stronger)
+
+    top = F.filter("all", lambda x: ~_covered(x) & ~beaten(x))
+    return _spans(marks, "subject", "score").select("seg", F.explode(F.array_distinct(F.transform(top, lambda x: x["subject"]))).alias("subject"))
 
-    A statement's marks are gathered as one array: at most WORDS marks per word of one sentence.
-    """
-    m = marks.groupBy("sid").agg(F.collect_list(F.struct("start", "stop", "phrase", "subject")).alias("all"))
-    longer = lambda x: F.exists("all", lambda y: (y["start"] <= x["start"]) & (y["stop"] >= x["stop"]) & ((y["stop"] - y["start"]) > (x["stop"] - x["start"])))
-    return m.select("sid", F.explode(F.filter("all", lambda x: ~longer(x))).alias("m")).select("sid", "m.*")
 
+def uncovered(occurrences: DataFrame, marks: DataFrame) -> DataFrame:
+    """``occurrences`` (seg, start, stop, phrase) that no longer mark of the part covers."""
+    return occurrences.join(_spans(marks), "seg", "left").where(~_covered(F.struct("start", "stop"))).drop("all")
 
-def verified(evidence: DataFrame, least: float = 0.5, support: float = 2.0) -> DataFrame:
-    """(phrase, subject) of phrases whose evidence (phrase, subject, n) stands for one subject: its share less one standard error is at least ``least``, on at least ``support``."""
-    total = evidence.groupBy("phrase").agg(F.sum("n").alias("all"), F.max_by("subject", F.struct("n", "subject")).alias("subject"), F.max("n").alias("n"))
+
+def evidence_of(occurrences: DataFrame, down: DataFrame) -> DataFrame:
+    """(phrase, subject, n): what the documents say of each phrase; ``down`` (seg, subject, n) is what they say of each part."""
+    return occurrences.select("seg", "phrase").distinct().join(down, "seg").groupBy("phrase", "subject").agg(F.sum("n").alias("n"))
+
+
+def scores(evidence: DataFrame, base: DataFrame, z: float = 1.5) -> DataFrame:
+    """(phrase, subject, score, all) from evidence (phrase, subject, n) and the subjects' shares ``base`` (subject, p) of all evidence.
+
+    The score says how far the subject's share of the phrase is beyond chance: the lower end of its Wilson interval,
+    less the base share, divided by what there is beyond the base share. Wording that says nothing has about 0.
+    """
+    total = evidence.groupBy("phrase").agg(F.sum("n").alias("all"))
     share = F.col("n") / F.col("all")
-    low = share - F.sqrt(share * (1 - share) / F.col("all"))
-    return total.where((F.col("all") >= support) & (low >= least)).select("phrase", "subject")
+    n = F.col("all")
+    low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return evidence.join(total, "phrase").join(base, "subject").select("phrase", "subject", ((low - F.col("p")) / (1 - F.col("p"))).alias("score"), "all")
+
+
+def verified(evidence: DataFrame, free: DataFrame | None, base: DataFrame, least: float = 0.4, support: float = 2.0, enough: float = 3.0) -> DataFrame:
+    """(phrase, subject, score) of phrases that stand for one subject: the largest score is at least ``least``, on ``support`` or more.
+
+    ``free`` is the evidence of the occurrences that no longer verified phrase covers: where there is ``enough`` of it,
+    it has to speak for the same subject with at least half of ``least``, so a word that only belongs to a term of two
+    words, or to a figure of speech, does not pass.
+    """
+    top = scores(evidence, base).groupBy("phrase").agg(F.max_by("subject", F.struct("score", "subject")).alias("subject"), F.max("score").alias("score"), F.max("all").alias("all"))
+    known = top.where((F.col("score") >= least) & (F.col("all") >= support)).select("phrase", "subject", "score")
+    if free is None:
+        return known
+    against = scores(free, base, 0.5).where(F.col("all") >= enough)
+    heard = against.groupBy("phrase").agg(F.lit(True).alias("heard"))
+    for_it = against.where(F.col("score") >= least / 2).select("phrase", "subject").withColumn("fits", F.lit(True))
+    return known.join(heard, "phrase", "left").join(for_it, ["phrase", "subject"], "left").where(F.col("heard").isNull() | F.col("fits")).select("phrase", "subject", "score")
 
 
 def seeds_of(labels: DataFrame, areas: DataFrame, documents: DataFrame) -> DataFrame:
@@ -79,34 +128,30 @@ def seeds_of(labels: DataFrame, areas: DataFrame, documents: DataFrame) -> DataF
 
 
 class Graph:
-    """The factors of the graph, written once: edges document - statement and occurrences of phrases in statements."""
+    """The factors of the graph, each written once: statements with their parts, edges document - part, occurrences of phrases in parts."""
 
     def __init__(self, documents: DataFrame):
-        self.edges = written(statements(documents).groupBy("doc_id", "sid").agg(F.count("*").alias("times"), F.max("opens").alias("opens"), F.max("whole").alias("whole"), F.first("words").alias("words")))
-        distinct = self.edges.groupBy("sid").agg(F.first("words").alias("words"))
-        self.occurrences = written(phrases(distinct))
-        self.edges = self.edges.drop("words")
+        rows = written(statements(documents))
+        self.rows = rows.drop("part")
+        self.edges = written(rows.groupBy("doc_id", "seg").agg(F.count("*").alias("times")))
+        self.occurrences = written(phrases(rows.groupBy("seg").agg(F.first("part").alias("part"))))
 
 
 def propagate(graph: Graph, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(sid, subject): the subjects of every statement after ``rounds`` rounds down and up the graph."""
-    belief = seeds
-    free = graph.occurrences
-    seeds = written(seeds)
+    """(seg, subject): the subjects of every part of a statement after ``rounds`` rounds down and up the graph."""
+    belief = seeds = written(seeds)
     for i in range(rounds):
-        down = graph.edges.join(belief, "doc_id").groupBy("sid", "subject").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-        evidence = free.select("sid", "phrase").distinct().join(down, "sid").groupBy("phrase", "subject").agg(F.sum("n").alias("n"))
-        known = written(verified(evidence))
-        marks = graph.occurrences.join(known, "phrase")
-        top = written(uncovered(marks))
-        of_statement = top.select("sid", "subject").distinct()
+        # A document of several subjects says less about each of its statements: its shares count squared.
+        down = written(graph.edges.join(belief, "doc_id").groupBy("seg", "subject").agg(F.sum(F.col("n") * F.col("n") * F.col("times")).alias("n")))
+        total = down.groupBy("subject").agg(F.sum("n").alias("n"))
+        base = written(total.join(total.agg(F.sum("n").alias("all"))).select("subject", (F.col("n") / F.col("all")).alias("p")))
+        evidence = written(evidence_of(graph.occurrences, down))
+        marks = written(graph.occurrences.join(verified(evidence, None, base), "phrase"))
+        known = verified(evidence, evidence_of(uncovered(graph.occurrences, marks), down), base)
+        topical = written(standing(graph.occurrences.join(known, "phrase")))
         if i == rounds - 1:
-            return written(of_statement)
-        # The next evidence: occurrences that no longer verified phrase covers.
-        cover = graph.occurrences.join(top.select("sid", F.col("start").alias("a"), F.col("stop").alias("b")), "sid", "left")
-        inside = (F.col("a") <= F.col("start")) & (F.col("b") >= F.col("stop")) & ((F.col("b") - F.col("a")) > (F.col("stop") - F.col("start")))
-        free = written(cover.groupBy("sid", "start", "stop", "phrase").agg(F.max(F.coalesce(inside, F.lit(False))).alias("covered")).where("not covered").drop("covered"))
-        said = graph.edges.join(of_statement, "sid").groupBy("doc_id", "subject").agg(F.sum("times").alias("c"))
+            return topical
+        said = graph.edges.join(topical, "seg").groupBy("doc_id", "subject").agg(F.sum("times").alias("c"))
         whole = said.groupBy("doc_id").agg(F.sum("c").alias("all"))
         heard = written(said.join(whole, "doc_id").select("doc_id", "subject", (F.col("c") / F.col("all")).alias("n")))
         trusted = seeds.join(heard.select("doc_id", "subject"), ["doc_id", "subject"], "left_semi").select("doc_id").distinct()
@@ -124,11 +169,13 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, round
     """
     graph = Graph(documents)
     topical = propagate(graph, seeds_of(labels, areas, documents), rounds)
-    said = graph.edges.join(topical, "sid").groupBy("doc_id", "subject").agg(F.sum("times").alias("c"))
-    often = graph.edges.groupBy("sid").agg(F.count("*").alias("docs"), F.avg(F.col("opens").cast("int")).alias("opening"), F.max("whole").alias("whole"))
-    plain = often.where(F.col("whole") & ~((F.col("docs") >= 5) & (~F.col("opening").between(0.02, 0.98)))).select("sid")
-    counted = topical.select("sid").unionByName(plain).distinct()
-    total = graph.edges.join(counted, "sid").groupBy("doc_id").agg(F.sum("times").alias("all"))
+    about = written(graph.rows.join(topical, "seg").select("doc_id", "no", "sid", "subject").distinct())
+    said = about.groupBy("doc_id", "subject").agg(F.count("*").alias("c"))
+    each = graph.rows.select("doc_id", "no", "sid", "opens", "whole").distinct()
+    usual = each.groupBy("sid").agg(F.count("*").alias("n"), F.avg(F.col("opens").cast("int")).alias("opening"), F.max("whole").alias("whole"))
+    plain = usual.where(F.col("whole") & ~((F.col("n") >= 5) & ~F.col("opening").between(0.02, 0.98))).select("sid")
+    counted = about.select("sid").unionByName(plain).distinct()
+    total = each.join(counted, "sid").groupBy("doc_id").agg(F.count("*").alias("all"))
     return said.join(total, "doc_id").where((F.col("c") >= 2) | (F.col("all") == 1)).select("doc_id", "subject")
 
 
