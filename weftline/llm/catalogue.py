@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import consensus, conversations, runs, splits, subjects
+from weftline.llm import consensus, conversations, mixture, runs, splits, subjects, tokens
+from weftline.operators.stage import written
 from weftline.sources.tables import table
 
 
@@ -53,6 +54,35 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return turns.select(part("session", 1).alias("src"), part("session", 2).alias("session_id"), "turn_no", part("record", 2).alias("message_key"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_documents(table(spark, d, "documents"))
+
+
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, n_ids, same): whether the decoded ids give the text back; null and empty texts come back empty."""
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    encoded = written(tokens.encode_documents(documents))
+    back = tokens.decode_documents(encoded).withColumnRenamed("text", "back")
+    sizes = encoded.select("doc_id", F.size("ids").alias("n_ids"))
+    return documents.join(back, "doc_id").join(sizes, "doc_id").select("doc_id", "n_ids", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return written(tokens.count_tokens(documents).join(documents.select("doc_id", "source"), "doc_id"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents drawn, with how often each is used."""
+    return mixture.draw(_sizes(spark, d), table(spark, d, "mix_targets")).select("doc_id", "source", "n_tokens", "repeats")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source."""
+    sizes, targets = _sizes(spark, d), table(spark, d, "mix_targets")
+    return mixture.shares(written(mixture.draw(sizes, targets)), sizes, targets)
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
 
@@ -65,5 +95,5 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(table(spark, d, "documents"), _subjects(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_reliability, p2_agreement, p3_found, p3_splits, p4_found, p4_runs, p7_found, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_reliability, p2_agreement, p3_found, p3_splits, p4_found, p4_runs, p7_found, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_composition)}
 SQL: dict[str, str] = {}
