@@ -1,0 +1,156 @@
+"""What each step was: the lane of a call, its move, its action and result, and the act that a message performs.
+
+All of it is rule tables compiled to CASE expressions over the normalised events; phrase families are our own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from weftline.functions.rules import Rule, first_rule
+from weftline.functions.text import error_signature
+
+# Lanes of calls, first match wins; everything else is a run.
+LANES: list[Rule] = [
+    ("probe", {"tool": r"(?i)^(read|grep|glob|ls|webfetch|websearch|toolsearch|skill)$"}),
+    ("change", {"tool": r"(?i)^(edit|write|multiedit|notebookedit|apply_patch|filechange)$"}),
+    ("delegate", {"tool": r"(?i)^(agent|task|workflow|sendmessage|spawn_agent)$"}),
+    ("check", {"tool": r"(?i)browser|playwright|screenshot"}),
+    ("ship", {"target": r"git (commit|push)|gh pr (create|merge)|npm publish|vercel --prod|(^| )deploy( |$)"}),
+    ("check", {"target": r"(^|[ /])(tsc|vitest|jest|pytest)( |$)|npm (test|run (test|lint|check))|(cargo|go) test|typecheck"}),
+    ("probe", {"target": r"^ *(cat|sed -n|grep|rg|ls|head|tail|find|wc|git (log|show|diff|status|blame)|gh pr (view|diff|list|checks)) ?"}),
+]
+# One letter per lane.
+LANE_CODE = {"probe": "p", "run": "r", "change": "c", "check": "h", "ship": "s", "delegate": "d"}
+
+# Actions of calls, first match wins; everything else is a run.
+ACTIONS: list[Rule] = [
+    ("deploy", {"target": r"vercel (deploy|--prod)|npm publish|fly deploy|wrangler (deploy|publish)|kubectl apply|terraform apply"}),
+    ("ship", {"target": r"git push|gh pr (create|merge)"}),
+    ("commit", {"target": r"git commit"}),
+    ("test", {"target": r"(^|[ /])(vitest|jest|pytest)( |$)|playwright test|node --test|(cargo|go) test|(npm|pnpm|yarn) (run )?test"}),
+    ("typecheck", {"target": r"(^| )(tsc|mypy|pyright)( |$)|type-?check"}),
+    ("lint", {"target": r"(^| )(eslint|ruff|clippy)( |$)|(npm|pnpm|yarn) (run )?lint"}),
+    ("build", {"target": r"next build|vite build|(cargo|go) build|(^| )make( |$)|(npm|pnpm|yarn) (run )?build"}),
+    ("install", {"target": r"(npm|pnpm) (i|install|ci|add)( |$)|yarn (add|install)|pip install|brew install|uv (add|pip)"}),
+    ("edit", {"tool": r"(?i)^(edit|write|multiedit|notebookedit|apply_patch|filechange)$"}),
+    ("delegate", {"tool": r"(?i)^(agent|task|workflow|sendmessage|spawn_agent)$"}),
+    ("read", {"tool": r"(?i)^read$"}),
+    ("read", {"target": r"^ *(cat|sed -n|head|tail|less) "}),
+    ("search", {"tool": r"(?i)^(grep|glob|ls|toolsearch|websearch)$"}),
+    ("search", {"target": r"^ *(rg|grep|find|ls|fd|wc)( |$)"}),
+    ("git_read", {"target": r"git (log|show|diff|status|blame|branch)|gh (pr|run|issue) (view|list|diff|checks)"}),
+    ("web", {"tool": r"(?i)^webfetch$|browser|playwright|navigate|screenshot"}),
+    ("web", {"target": r"^ *curl( |$)"}),
+    ("mcp", {"tool": r"__"}),
+]
+PASSED = r"(?i)[0-9]+ (passed|passing)|all ([0-9]+ )?tests? passed|build (succeeded|completed)|compiled successfully|found 0 errors|(^|[ \n])ok *$"
+FAILED = r"[1-9][0-9]* (failed|failing|errors?)|(^|[ \n])FAIL([ \n]|$)|error TS[0-9]+|[Bb]uild failed|Command failed"
+CODE = r"\.(ts|tsx|js|jsx|mjs|py|go|rs|java|rb|sql|sh|c|cpp|h)($|[^a-z])"
+
+# What a message does, first match wins.
+ACTS: list[Rule] = [
+    ("course_change", {"text": r"(?i)(^|[^a-z])(actually|turns out|scratch that|on second thought|my mistake|instead of|different approach|the real (cause|issue|problem)|(won't|didn't|doesn't|did not|does not) (work|help))([^a-z]|$)"}),
+    ("blocked", {"text": r"(?i)(^|[^a-z])(blocked|unable to|can(no|')t (access|read|run|write|reach)|access that i do not have|giving up|no way to)([^a-z]|$)"}),
+    ("handback", {"text": r"(?i)(^|[^a-z])(waiting (on|for) you|please (approve|confirm|review)|let me know|should i|do you want|your call|over to you)([^a-z]|$)"}),
+    ("verification", {"text": r"(?i)(all checks pass|tests? (now )?pass|verified|(build|lint|typecheck) (passes|is clean|succeeded))"}),
+    ("claim_done", {"text": r"(?i)^(done|finished|shipped|merged|deployed|published|complete)([^a-z]|$)|(is|are|has been) (fixed|merged|deployed|published|shipped|complete)"}),
+    ("hypothesis", {"text": r"(?i)(^|[^a-z])(likely|probably|maybe|might be|may depend|could be|i suspect|seems like|appears to be)([^a-z]|$)"}),
+    ("evidence", {"text": r"(?i)(fails because|the (log|output|error|trace|test) (shows|says)|according to|confirms that|still red)"}),
+    ("decision", {"text": r"(?i)(^|[^a-z])(i leave|i'll go with|going with|decided|the fix is|smallest step)([^a-z]|$)"}),
+    ("plan", {"text": r"(?i)^(now|next|then|first|finally|let me|i'll|i will|plan:|here is the plan)([^a-z]|$)"}),
+]
+
+# Judgments of the person.
+JUDGMENTS: list[Rule] = [
+    ("explicit_rule", {"text": r"(?i)(^|[^a-z])(from now on|always|never|every time|in future|going forward)([^a-z]|$)"}),
+    ("correction", {"text": r"(?i)^ *(no[,. ]|not like that|don't|stop|actually|instead|wrong|undo|revert)|leave .+ alone"}),
+]
+
+# Named walls, first match wins; ``err`` and ``denied`` are columns of the call.
+WALLS: list[Rule] = [
+    ("denied-chain", {"denied_text": r"^yes$", "tool": r"(?i)^bash$", "target": r"&&|\|\||;"}),
+    ("denied-mcp", {"denied_text": r"^yes$", "tool": r"(?i)^mcp__"}),
+    ("denied-web", {"denied_text": r"^yes$", "tool": r"(?i)^(webfetch|websearch)$"}),
+    ("denied-other", {"denied_text": r"^yes$"}),
+    ("disk-full", {"err_text": r"(?i)enospc|no space left"}),
+    ("heap", {"err_text": r"(?i)heap out of memory"}),
+    ("port", {"err_text": r"(?i)eaddrinuse|address already in use|port [0-9]+ is taken"}),
+    ("auth-expired", {"err_text": r"(?i)session expired|failed to authenticate|401 unauthorized"}),
+    ("no-module", {"err_text": r"(?i)cannot find module|module_not_found"}),
+    ("timeout", {"err_text": r"(?i)timed out after"}),
+]
+SLIP_TOOL = r"(?i)^(edit|multiedit|write|read|toolsearch|skill)$"
+SLIP_TEXT = r"(?i)string to replace|has not been read|file does not exist|not found in file|must be unique"
+
+
+def lane() -> Column:
+    return first_rule(LANES, "run")
+
+
+def move() -> Column:
+    """One letter per call: X failed, D denied, otherwise its lane's letter."""
+    codes = F.create_map(*[F.lit(x) for kv in LANE_CODE.items() for x in kv])
+    return F.when(F.col("denied"), "D").when(F.col("err"), "X").otherwise(F.element_at(codes, F.col("lane")))
+
+
+def with_moves(events: DataFrame) -> DataFrame:
+    """The calls of ``events`` with lane and move."""
+    return events.where("kind = 'tool'").withColumn("lane", lane()).withColumn("move", move())
+
+
+def with_facts(events: DataFrame) -> DataFrame:
+    """``events`` with action, result (pending, denied, fail, pass, ok), code (an edit of code) and pr (a number named) of calls."""
+    tool = F.col("kind") == "tool"
+    action = F.when(tool, first_rule(ACTIONS, "run"))
+    said = F.coalesce("out", F.lit(""))
+    result = F.when(F.col("pending"), "pending").when(F.col("denied"), "denied").when(F.col("err"), "fail").when(said.rlike(FAILED), "fail").when(said.rlike(PASSED), "pass").otherwise("ok")
+    df = events.withColumn("action", action).withColumn("result", F.when(tool, result))
+    df = df.withColumn("code", F.coalesce((F.col("action") == "edit") & F.col("target").rlike(CODE), F.lit(False)))
+    pr = F.regexp_extract(F.concat_ws(" ", "target", "out"), r"(?:pull/|PR #|#)([0-9]{1,6})", 1)
+    return df.withColumn("pr", F.when(tool, F.nullif(pr, F.lit("")).try_cast("bigint")))
+
+
+def with_acts(events: DataFrame) -> DataFrame:
+    """Messages with ``act``: 'ask' for the person, otherwise the first family of phrases that matches, or 'other'."""
+    return events.where("kind in ('ask', 'say')").withColumn("act", F.when(F.col("kind") == "ask", "ask").otherwise(first_rule(ACTS, "other")))
+
+
+def judgments(events: DataFrame) -> DataFrame:
+    """Signals of judgment: (session, i, signal, text, signal_id), each id once.
+
+    A rejected call is a rejection, with the words after "user said:" as its text; a denied one a denial, once per
+    session, tool and first line; a person's text an explicit rule, or a correction if the agent acted before. Texts
+    under two characters or beginning with a bracket say nothing.
+    """
+    w = W.partitionBy("session").orderBy("i")
+    acted = F.coalesce(F.max(F.col("kind") == "tool").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    words = F.regexp_extract("err_text", r"(?s)[Uu]ser said:\s*(.*)$", 1)
+    first_line = F.substring_index("err_text", "\n", 1)
+    seen = F.row_number().over(W.partitionBy("session", "tool", "denial").orderBy("i"))
+    df = events.withColumn("acted", acted).withColumn("denial", F.when(F.col("denied") & ~F.col("rejected"), first_line)).withColumn("nth", seen)
+    judged = first_rule(JUDGMENTS)
+    usable = (F.col("kind") == "ask") & (F.length(F.trim("text")) >= 2) & ~F.col("text").startswith("[")
+    signal = (
+        F.when(F.col("rejected"), "rejection").when(F.col("denial").isNotNull() & (F.col("nth") == 1), "denial")
+        .when(usable & (judged == "explicit_rule"), "explicit_rule").when(usable & F.col("acted") & (F.length("text") <= 600) & (judged == "correction"), "correction")
+    )
+    df = df.withColumn("signal", signal).where("signal is not null")
+    text = F.when(F.col("signal") == "rejection", words).when(F.col("signal") == "denial", F.col("denial")).otherwise(F.col("text"))
+    df = df.select("session", "i", "signal", F.substring(text, 1, 2000).alias("text"))
+    return df.withColumn("signal_id", F.substring(F.sha2(F.concat_ws("|", "session", "signal", F.col("i").cast("string"), "text"), 256), 1, 16))
+
+
+def wall_hits(events: DataFrame) -> DataFrame:
+    """(session, i, sig, named, tool, target, sample): failed calls with what they ran into.
+
+    Calls that a person rejected are judgments and hit no wall. A named wall comes from the rule table; otherwise the
+    error's signature is the wall, unless the agent only misused its tool.
+    """
+    calls = events.where("kind = 'tool' and err and not rejected").withColumn("denied_text", F.when(F.col("denied"), "yes").otherwise("no"))
+    calls = calls.withColumn("wall", first_rule(WALLS))
+    slip = F.coalesce(F.col("tool").rlike(SLIP_TOOL), F.lit(False)) | F.coalesce(F.col("err_text").rlike(SLIP_TEXT), F.lit(False))
+    sig = F.coalesce("wall", F.when(~slip, error_signature(F.col("tool"), F.col("err_text"))))
+    return calls.withColumn("sig", sig).where("sig is not null").select("session", "i", "row_id", "ts", "sig", F.col("wall").isNotNull().alias("named"), "tool", "target", F.substring("err_text", 1, 200).alias("sample"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import drift, instants
+from weftline.plans import drift, instants, sessions
 
-MODULES = (instants, drift)
+MODULES = (instants, drift, sessions)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in getattr(m, "SQL", {}).items()}
