@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import drift, instants, sessions, work
+from weftline.plans import drift, evaluation, instants, sessions, work
 
-MODULES = (instants, drift, sessions, work)
+MODULES = (instants, drift, sessions, work, evaluation)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in getattr(m, "SQL", {}).items()}

@@ -1,11 +1,19 @@
-"""Queries over pieces of work: threads, goals, criteria, receipts, links between pieces, workstreams, search."""
+"""Queries over pieces of work: threads, goals, criteria, links between pieces, workstreams, text statistics, search."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from weftline.functions.rules import matches
+from weftline.functions.text import tokens
 from weftline.operators import events as E
+from weftline.operators import graph, measures, pieces
+from weftline.operators import steps as S
 from weftline.operators import threads as T
+from weftline.operators.stage import written
+from weftline.plans.sessions import _WITH
 from weftline.sources.tables import table
 
 
@@ -18,21 +26,264 @@ def threads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def thread_spans(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return threads(spark, d).select("session", "thread", "root", F.explode("spans").alias("s")).select("session", "thread", "root", "s.a", "s.b")
 
 
-def goals(spark: SparkSession, d: str) -> DataFrame:
+def _goals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ev = _events(spark, d)
-    return T.goal_outcomes(T.goal_steps(ev, T.threads(ev)))
+    th = written(T.threads(ev))
+    return T.goal_steps(ev, th), th
+
+
+def goals(spark: SparkSession, d: str) -> DataFrame:
+    return T.goal_outcomes(_goals(spark, d)[0])
 
 
 def goal_backtracks(spark: SparkSession, d: str) -> DataFrame:
-    ev = _events(spark, d)
-    return T.backtracks(T.goal_steps(ev, T.threads(ev)))
+    return T.backtracks(_goals(spark, d)[0])
+
+
+def receipts(spark: SparkSession, d: str) -> DataFrame:
+    """One nested document per goal: intent, actions, artifacts, outcome, verification, detours, and a hash of its content."""
+    steps, th = _goals(spark, d)
+    steps = written(steps)
+    root = th.where("thread = root").select("session", "root", "title", "origin")
+    acts = steps.where("kind = 'tool'").groupBy("session", "root").agg(
+        F.array_sort(F.collect_list(F.struct("i", "action", "result", "target"))).alias("actions"),
+        F.array_sort(F.collect_set(F.when(F.col("action") == "edit", F.col("target")))).alias("files"), F.array_sort(F.collect_set("pr")).alias("prs"),
+    )
+    checks = F.filter("actions", lambda a: a["action"].isin("test", "typecheck", "lint", "build"))
+    back = T.backtracks(steps).groupBy("session", "root").agg(F.array_sort(F.collect_list(F.struct("i", "trigger"))).alias("detours"))
+    doc = T.goal_outcomes(steps).join(root, ["session", "root"]).join(acts, ["session", "root"], "left").join(back, ["session", "root"], "left")
+    verification = F.when(F.size(checks) <= 0, "unverified").when(F.forall(checks, lambda a: a["result"] == "pass"), "passed").when(F.exists(checks, lambda a: a["result"] == "pass"), "partial").when(F.forall(checks, lambda a: a["result"].isin("ok", "pending")), "inconclusive").otherwise("failed")
+    doc = doc.withColumn("verification", F.coalesce(verification, F.lit("unverified"))).withColumn("receipt_id", F.concat_ws(":", F.lit("weft"), "session", "root"))
+    from weftline.functions.text import head_tail
+
+    doc = doc.withColumn("actions", head_tail(F.coalesce("actions", F.array().cast("array<struct<i:bigint,action:string,result:string,target:string>>")), 150, 150))
+    body = F.to_json(F.struct("receipt_id", "title", "origin", "outcome", "status", "verification", "actions", "files", "prs", "detours"))
+    return doc.select("receipt_id", "session", "root", "title", "origin", "outcome", "status", "confidence", "verification", "actions", "files", "prs", "detours", F.sha2(body, 256).alias("content_hash"))
+
+
+def overall_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The least of the confidences that are there: outcome, boundary (detours make it less sure), detours found."""
+    steps, th = _goals(spark, d)
+    detours = th.where("thread <> root").groupBy("session", "root").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "found").alias("found"))
+    out = T.goal_outcomes(steps).join(detours, ["session", "root"], "left")
+    boundary = F.when(F.col("n").isNull(), 0.9).when(F.col("found") == 0, 0.85).otherwise(0.7)
+    return out.select("session", "root", F.array_min(F.array_compact(F.array("confidence", boundary))).alias("confidence"))
+
+
+def review_queue(spark: SparkSession, d: str) -> DataFrame:
+    """What a person should look at first: unsure outcomes and unverified changes of substantial goals, by value; the limit is the feature."""
+    g = goals(spark, d).where("n_steps >= 5")
+    a = g.where("confidence < 0.6").select("session", "root", F.lit("outcome").alias("question"), ((1 - F.col("confidence")) * (1 + F.col("n_steps") / 50)).alias("value"))
+    b = g.where("checked_after_change = false").select("session", "root", F.lit("unchecked").alias("question"), F.lit(0.6).alias("value"))
+    return a.unionByName(b).orderBy(F.desc("value"), "session", "root", "question").limit(50)
+
+
+# Criteria that an ask states; all that match count.
+CRITERIA = (
+    ("pull_request", {"ask": r"(?i)(open|create|make|raise|submit) [^.]{0,30}(pr|pull request)($|[^a-z])"}),
+    ("merge", {"ask": r"(?i)(^|[^a-z])merge($|[^a-z])"}),
+    ("deploy", {"ask": r"(?i)(^|[^a-z])(deploy|ship it|release|go live)($|[^a-z])"}),
+    ("commit", {"ask": r"(?i)(^|[^a-z])commit($|[^a-z])"}),
+    ("tests", {"ask": r"(?i)(tests?|checks)[^.]{0,30}(pass|green|fix|work)|add a test|run the checks"}),
+    ("answer", {"ask": r"(?i)^ *(why|what|how|where|when|which|who|can you (explain|tell|check|find)|explain|review)($|[^a-z])|\? *$"}),
+    ("file", {"ask": r"(?i)(into|create|write|add|save|tidy up) [^\n]{0,30}[a-z0-9_./-]+\.(md|ts|tsx|js|mjs|py|go|rs|sql)"}),
+    ("change", {"ask": r"(?i)(^|[^a-z])(fix|implement|add|build|refactor|update|change|improve|move|tidy)($|[^a-z])"}),
+)
+
+
+def criteria(spark: SparkSession, d: str) -> DataFrame:
+    """Criteria of every piece's ask, numbered in the order of the table."""
+    p = pieces.pieces(_events(spark, d)).where("ask is not null")
+    found = F.array_compact(F.array(*[F.when(matches(pattern), F.lit(kind)) for kind, pattern in CRITERIA]))
+    return p.select("piece_id", F.posexplode(found).alias("pos", "criterion")).select("piece_id", F.concat(F.lit("c"), (F.col("pos") + 1).cast("string")).alias("id"), "criterion")
+
+
+def criteria_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Each criterion met, unmet or unknown, by the last call or message of the piece that decides it."""
+    ev = written(pieces.with_piece(S.with_facts(_events(spark, d))))
+    tool = (F.col("kind") == "tool") & ~F.coalesce("pending", F.lit(False))
+    last = lambda c, v: F.max_by(v, F.when(c, F.col("i")))
+    good = ~F.col("result").isin("fail", "denied")
+    w = W.partitionBy("piece_id")
+    ev = ev.withColumn("code_at", F.max(F.when(F.col("code"), F.col("i"))).over(w)).withColumn("edit_at", F.max(F.when(F.col("action") == "edit", F.col("i"))).over(w))
+    check = tool & F.col("action").isin("test", "typecheck", "lint", "build")
+    by = ev.groupBy("piece_id").agg(
+        last(tool & (F.col("target").rlike("gh pr create") | F.col("pr").isNotNull()), good).alias("pull_request"), last(tool & F.col("target").rlike("gh pr merge|git merge"), good).alias("merge"), last(tool & (F.col("action") == "deploy"), good).alias("deploy"),
+        last(tool & F.col("action").isin("commit", "ship"), good).alias("commit"), last(tool & (F.col("action") == "test") & (F.col("i") > F.coalesce("code_at", F.lit(-1))), good).alias("tests"),
+        last(F.col("kind") == "say", F.length("text") > 160).alias("answer"), last(tool & (F.col("action") == "edit"), good).alias("file"), last(check & (F.col("i") > F.col("edit_at")), good).alias("change"),
+    )
+    met = F.element_at(F.create_map(*[x for k, _ in CRITERIA for x in (F.lit(k), F.col(k))]), F.col("criterion"))
+    return criteria(spark, d).join(by, "piece_id").select("piece_id", "id", "criterion", F.when(met.isNull(), "unknown").when(met, "met").otherwise("unmet").alias("status"))
+
+
+# Kinds of work; each match of a pattern in the ask adds to its score.
+WORK = (
+    ("fix", r"(?i)(fix|bug|broken|error|fails?|failing|crash|regression|wrong|issue)"),
+    ("feature", r"(?i)(implement|add|build|create|new|support|introduce)"),
+    ("improve", r"(?i)(improve|better|polish|clean ?up|tidy|faster|simplif|upgrade)"),
+    ("refactor", r"(?i)(refactor|restructure|extract|rename|move|split)"),
+    ("investigate", r"(?i)(why|what|how|where|when|which|investigate|root cause)"),
+    ("review", r"(?i)(audit|review|critique|assess|verify|check (that|if|whether))"),
+    ("ship", r"(?i)(merge|deploy|publish|release|ship|push|commit|open a pr)"),
+    ("write", r"(?i)(write|draft|docs?|readme|plan|spec|outline)"),
+)
+
+
+def work_types(spark: SparkSession, d: str) -> DataFrame:
+    """The kind of work of each piece by its ask; 0.6 for a match, 0.4 for up to two more; 'other' where none matches."""
+    p = pieces.pieces(_events(spark, d)).where("ask is not null").withColumn("head", F.substring("ask", 1, 400))
+    count = [F.regexp_count("head", F.lit(pattern)) for _, pattern in WORK]
+    scored = F.array(*[F.struct(F.when(n > 0, 6 + 4 * F.least(F.lit(2), n - 1)).otherwise(0).alias("score"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (n, (name, _)) in enumerate(zip(count, WORK))])
+    best = F.array_max(scored)
+    return p.select("piece_id", F.when(best["score"] > 0, best["name"]).otherwise("other").alias("work_type"), best["score"].cast("bigint").alias("tenths"))
+
+
+def area_segments(spark: SparkSession, d: str) -> DataFrame:
+    """How many files and pieces touch each area: the directory part of a file behind ``src``."""
+    o = pieces.objects(_events(spark, d)).where("type = 'file'")
+    return o.groupBy(F.regexp_extract("id", r"^src/([a-z0-9_-]+)/", 1).alias("area")).agg(F.count_distinct("id").alias("files"), F.count_distinct("piece_id").alias("pieces"))
+
 
+def objects_touched(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.objects(_events(spark, d)).select("piece_id", "type", "id")
 
-NAMES = (threads, thread_spans, goals, goal_backtracks)
+
+def rare_objects(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.rare_objects(pieces.objects(_events(spark, d))).select("piece_id", "type", "id", "n")
+
+
+def piece_links(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.links(pieces.objects(_events(spark, d)))
+
+
+def workstreams(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces joined by sure links: one row per component with its size, sessions, span and weakest link."""
+    objs = written(pieces.objects(_events(spark, d)))
+    sure = written(pieces.links(objs).where("confidence >= 0.7"))
+    c = graph.connected_components(sure)
+    start = objs.select("piece_id", "session", "start").distinct()
+    weak = sure.join(c, F.col("a") == F.col("node")).groupBy("component").agg(F.min("confidence").alias("weakest"), F.count("*").alias("links"))
+    member = c.join(start, F.col("node") == F.col("piece_id")).groupBy("component").agg(F.count_distinct("node").alias("pieces"), F.count_distinct("session").alias("sessions"), F.min("start").alias("first_at"), F.max("start").alias("last_at"))
+    return member.join(weak, "component").select("component", "pieces", "sessions", "links", "weakest", "first_at", "last_at")
+
+
+def best_parents(spark: SparkSession, d: str) -> DataFrame:
+    """The surest earlier piece that each piece follows."""
+    w = W.partitionBy("b").orderBy(F.desc("confidence"), "a")
+    return piece_links(spark, d).withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("b").alias("piece_id"), F.col("a").alias("parent"), "relationship", "confidence")
+
+
+def continuations(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces whose ask takes up the piece before it in the session: short asks, or asks of similar words (cosine of their term weights)."""
+    p = written(pieces.pieces(_events(spark, d)).where("ask is not null"))
+    v = written(pieces.term_weights(p.select(F.col("piece_id").alias("doc"), F.col("ask").alias("text"))))
+    norm = v.groupBy("doc").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    w = W.partitionBy("session").orderBy("piece")
+    pair = p.withColumn("before", F.lag("piece_id").over(w)).where("before is not null").select("piece_id", "before", "ask")
+    dot = pair.join(v.select(F.col("doc").alias("piece_id"), "term", F.col("weight").alias("x")), "piece_id").join(v.select(F.col("doc").alias("before"), "term", F.col("weight").alias("y")), ["before", "term"]).groupBy("piece_id", "before").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    both = pair.join(dot, ["piece_id", "before"], "left").join(norm.select(F.col("doc").alias("piece_id"), F.col("norm").alias("n1")), "piece_id", "left").join(norm.select(F.col("doc").alias("before"), F.col("norm").alias("n2")), "before", "left")
+    cos = F.coalesce(F.col("dot") / (F.col("n1") * F.col("n2")), F.lit(0.0))
+    short = F.length("ask") < 60
+    return both.where(short | (cos >= 0.3)).select("piece_id", "before", F.when(short, "short").otherwise("similar").alias("reason"))
+
+
+def top_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The three most telling terms of each session's asks."""
+    docs = _events(spark, d).where("kind = 'ask'").groupBy(F.col("session").alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias("text"))
+    w = W.partitionBy("doc").orderBy(F.desc("weight"), "term")
+    return pieces.term_weights(docs).withColumn("k", F.row_number().over(w)).where("k <= 3").select("doc", "term", "tf", "df")
+
+
+def search_pieces(spark: SparkSession, d: str, query: str = "nightly export webhook queue") -> DataFrame:
+    words = [r[0] for r in spark.range(1).select(F.explode(tokens(F.lit(query)))).collect()]
+    found = pieces.search(pieces.search_fields(_events(spark, d)), words)
+    return found.select("doc", F.floor(F.col("score") * 1e6 + 0.5).cast("bigint").alias("score_e6"), "hits")
+
+
+def filter_goals(spark: SparkSession, d: str, query: str = "outcome:shipped conf:>=0.8") -> DataFrame:
+    filters, _ = pieces.parse_query(query)
+    return pieces.where_query(goals(spark, d), filters).select("session", "root", "outcome", "confidence")
+
+
+def positional_zip(spark: SparkSession, d: str) -> DataFrame:
+    """The n-th call of a session beside its n-th result, joined by ordinal."""
+    claude = table(spark, d, "claude")
+    rec = E.distinct_records(claude).select("row_id", F.col("sessionId").alias("session"), F.posexplode("message.content").alias("pos", "b"))
+    w = W.partitionBy("session").orderBy("row_id", "pos")
+    calls = rec.where(F.col("b.type") == "tool_use").select("session", F.row_number().over(w).alias("n"), F.col("b.id").alias("call_id"))
+    res = rec.where(F.col("b.type") == "tool_result").select("session", F.row_number().over(w).alias("n"), F.col("b.tool_use_id").alias("result_id"))
+    z = calls.join(res, ["session", "n"], "full")
+    return z.groupBy("session").agg(F.count("*").alias("pairs"), F.count_if(F.col("call_id") == F.col("result_id")).alias("same"))
+
+
+def lane_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Sub-rows for the threads of a session, so that no two in a row overlap."""
+    t = threads(spark, d).select(F.col("session").alias("grp"), F.col("thread"), F.element_at("spans", 1)["a"].alias("a"), F.element_at("spans", -1)["b"].alias("b")).where("a is not null")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return t.repartition(n, "grp").sortWithinPartitions("grp", "a", "thread").mapInPandas(measures.pack_lanes, "grp string, thread int, a bigint, b bigint, lane bigint")
+
+
+def upload_bins(spark: SparkSession, d: str, most: int = 200) -> DataFrame:
+    """Sessions of one repository packed in order into bins of at most ``most`` calls."""
+    calls = _events(spark, d).where("kind = 'tool'").groupBy("session").agg(F.count("*").alias("size"))
+    repo = table(spark, d, "claude").where("sessionId is not null and cwd is not null").groupBy(F.col("sessionId").alias("session")).agg(F.min("cwd").alias("grp"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = calls.join(repo, "session").select("grp", "session", "size")
+    return rows.repartition(n, "grp").sortWithinPartitions("grp", "session").mapInPandas(lambda it: measures.pack_bins(it, most), "grp string, session string, size bigint, bin bigint")
+
+
+NAMES = (
+    threads, thread_spans, goals, goal_backtracks, receipts, overall_confidence, review_queue, criteria, criteria_checked, work_types, area_segments, objects_touched, rare_objects, piece_links, workstreams, best_parents,
+    continuations, top_terms, search_pieces, filter_goals, positional_zip, lane_packing, upload_bins,
+)
 QUERIES = {f.__name__: f for f in NAMES}
-SQL: dict[str, str] = {}
+
+_Q = lambda s: "'" + s.replace("'", "''") + "'"
+_PIECE = _WITH + f""", pc AS (SELECT *, session || ':' || piece AS piece_id FROM (SELECT *, CAST(sum(CASE WHEN kind = 'ask' AND NOT regexp_matches(text, '{E.CONTINUE}') THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY i) AS BIGINT) AS piece FROM ev)),
+ pieces AS (SELECT session, piece, piece_id, min(ts) AS start, arg_min(text, i) FILTER (kind = 'ask' AND NOT regexp_matches(text, '{E.CONTINUE}')) AS ask FROM pc GROUP BY session, piece, piece_id)"""
+_OBJ = _PIECE + f""", calls AS (SELECT * FROM pc WHERE kind = 'tool'), ob0 AS (
+ SELECT piece_id, session, 'ticket' AS type, target AS id FROM calls WHERE regexp_matches(target, {_Q(pieces.TICKET)}) UNION
+ SELECT piece_id, session, 'file', target FROM calls WHERE regexp_matches(target, {_Q(pieces.FILE)}) AND NOT regexp_matches(target, 'package(-lock)?\\.json$') UNION
+ SELECT piece_id, session, 'branch', regexp_extract(target, {_Q(pieces.BRANCH)}, 1) FROM calls WHERE regexp_extract(target, {_Q(pieces.BRANCH)}, 1) <> '' UNION
+ SELECT piece_id, session, 'pr', regexp_extract(target, '(?:pull/|PR #|gh (?:pr|run) view )([0-9]{{1,7}})', 1) FROM calls WHERE regexp_extract(target, '(?:pull/|PR #|gh (?:pr|run) view )([0-9]{{1,7}})', 1) <> ''),
+ ob AS (SELECT ob0.*, p.start FROM ob0 JOIN pieces p USING (piece_id)),
+ rare AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY type, id) AS n FROM ob) WHERE n > 1 AND n <= CASE type WHEN 'file' THEN 6 ELSE 25 END)"""
+_LINK = _OBJ + """, pr0 AS (SELECT *, lag(piece_id) OVER w AS a, lag(start) OVER w AS before FROM rare WINDOW w AS (PARTITION BY type, id ORDER BY start, piece_id)),
+ e0 AS (SELECT a, piece_id AS b, type, CASE type WHEN 'pr' THEN 0.74::DOUBLE WHEN 'file' THEN 0.55::DOUBLE + 0.25::DOUBLE / n ELSE 0.85::DOUBLE END AS c FROM pr0 WHERE a IS NOT NULL AND epoch(date_trunc('second', start)) - epoch(date_trunc('second', before)) < CASE type WHEN 'file' THEN 21 ELSE 4 END * 86400),
+ lk AS (SELECT a, b, 'same_' || type AS relationship, CASE WHEN files >= 2 AND type = 'file' THEN least(0.88::DOUBLE, 0.7::DOUBLE + 0.06::DOUBLE * files) ELSE c END AS confidence FROM
+  (SELECT a, b, max(c) AS c, max(struct_pack(c := c, type := type)).type AS type, count(*) FILTER (type = 'file') AS files FROM e0 GROUP BY a, b))"""
+_TOK = lambda c: f"list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(lower({c}), 'https?://[^ ]+', ' ', 'g'), '[^a-z0-9#._/-]+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '^[._/-]+|[._/-]+$', '', 'g')), lambda w: length(w) > 2 AND NOT list_contains([{', '.join(_Q(w) for w in __import__('weftline.functions.text', fromlist=['STOPWORDS']).STOPWORDS)}], w) AND NOT regexp_matches(w, '^[0-9]+$'))"
+_CRIT = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(ask, {_Q(p['ask'])}) THEN {_Q(k)} END" for k, p in CRITERIA) + "], lambda x: x IS NOT NULL)"
+_WORK = ", ".join(f"CASE WHEN len(regexp_extract_all(head, {_Q(p)})) > 0 THEN 6 + 4 * least(2, len(regexp_extract_all(head, {_Q(p)})) - 1) ELSE 0 END" for _, p in WORK)
+
+SQL = {
+    "criteria": _PIECE + f", c AS (SELECT piece_id, {_CRIT} AS found FROM pieces WHERE ask IS NOT NULL) SELECT piece_id, 'c' || generate_subscripts(found, 1) AS id, unnest(found) AS criterion FROM c",
+    "work_types": _PIECE + f", s AS (SELECT piece_id, [{_WORK}] AS sc FROM (SELECT piece_id, left(ask, 400) AS head FROM pieces WHERE ask IS NOT NULL)) SELECT piece_id, CASE WHEN list_max(sc) > 0 THEN [{', '.join(_Q(k) for k, _ in WORK)}][list_position(sc, list_max(sc))] ELSE 'other' END AS work_type, CAST(list_max(sc) AS BIGINT) AS tenths FROM s",
+    "area_segments": _OBJ + "SELECT regexp_extract(id, '^src/([a-z0-9_-]+)/', 1) AS area, count(DISTINCT id) AS files, count(DISTINCT piece_id) AS pieces FROM ob WHERE type = 'file' GROUP BY 1",
+    "objects_touched": _OBJ + "SELECT piece_id, type, id FROM ob",
+    "rare_objects": _OBJ + "SELECT piece_id, type, id, n FROM rare",
+    "piece_links": _LINK + "SELECT * FROM lk",
+    "best_parents": _LINK + "SELECT b AS piece_id, a AS parent, relationship, confidence FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY confidence DESC, a) AS k FROM lk) WHERE k = 1",
+    "workstreams": (_LINK + """, sure AS MATERIALIZED (SELECT * FROM lk WHERE confidence >= 0.7), ways AS MATERIALIZED (SELECT a AS node, b AS other FROM sure UNION SELECT b, a FROM sure),
+        reach AS (SELECT node, node AS seen FROM ways UNION SELECT r.node, e.other FROM reach r JOIN ways e ON e.node = r.seen), comp AS MATERIALIZED (SELECT node, min(seen) AS component FROM reach GROUP BY node),
+        st AS (SELECT DISTINCT piece_id, session, start FROM ob)
+        SELECT m.component, m.pieces, m.sessions, w.links, w.weakest, m.first_at, m.last_at FROM
+        (SELECT component, count(DISTINCT node) AS pieces, count(DISTINCT session) AS sessions, min(start) AS first_at, max(start) AS last_at FROM comp JOIN st ON st.piece_id = comp.node GROUP BY component) m JOIN
+        (SELECT component, min(confidence) AS weakest, count(*) AS links FROM sure JOIN comp ON comp.node = sure.a GROUP BY component) w USING (component)""").replace("WITH\n", "WITH RECURSIVE\n", 1),
+    "top_terms": _WITH + f", dc AS (SELECT session AS doc, string_agg(text, ' ' ORDER BY i) AS text FROM ev WHERE kind = 'ask' GROUP BY session), t AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest({_TOK('text')}) AS term FROM dc) GROUP BY doc, term), f AS (SELECT term, count(*) AS df FROM t GROUP BY term), v AS (SELECT doc, term, tf, df, (1 + ln(tf)) * ln(((SELECT count(*) FROM dc) + 1) / (df + 0.5)) AS weight FROM t JOIN f USING (term)) SELECT doc, term, tf, df FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY weight DESC, term) AS k FROM v) WHERE k <= 3",
+    "continuations": _PIECE + f""", p AS (SELECT * FROM pieces WHERE ask IS NOT NULL), t AS (SELECT doc, term, count(*) AS tf FROM (SELECT piece_id AS doc, unnest({_TOK('ask')}) AS term FROM p) GROUP BY doc, term), f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+        v AS (SELECT doc, term, (1 + ln(tf)) * ln(((SELECT count(*) FROM p) + 1) / (df + 0.5)) AS weight FROM t JOIN f USING (term)), nm AS (SELECT doc, sqrt(sum(weight * weight)) AS norm FROM v GROUP BY doc),
+        pair AS (SELECT * FROM (SELECT piece_id, ask, lag(piece_id) OVER (PARTITION BY session ORDER BY piece) AS before FROM p) WHERE before IS NOT NULL),
+        dt AS (SELECT pair.piece_id, sum(x.weight * y.weight) AS dot FROM pair JOIN v x ON x.doc = pair.piece_id JOIN v y ON y.doc = pair.before AND y.term = x.term GROUP BY pair.piece_id)
+        SELECT pair.piece_id, before, CASE WHEN length(ask) < 60 THEN 'short' ELSE 'similar' END AS reason FROM pair LEFT JOIN dt USING (piece_id) LEFT JOIN nm a ON a.doc = pair.piece_id LEFT JOIN nm b ON b.doc = pair.before WHERE length(ask) < 60 OR coalesce(dot / (a.norm * b.norm), 0) >= 0.3""",
+    "search_pieces": _PIECE + f""", fl AS (SELECT piece_id AS doc, 'ask' AS field, text FROM pc WHERE kind = 'ask' UNION ALL SELECT piece_id, CASE WHEN regexp_matches(target, {_Q(pieces.FILE)}) THEN 'files' ELSE 'calls' END, target FROM pc WHERE kind = 'tool'),
+        ix AS (SELECT DISTINCT doc, field, term FROM (SELECT doc, field, unnest({_TOK('text')}) AS term FROM fl)), wt AS (SELECT *, CASE field WHEN 'ask' THEN 3.0 WHEN 'files' THEN 1.2 ELSE 0.4 END::DOUBLE AS w FROM ix),
+        sz AS (SELECT doc, sum(w) AS len FROM wt GROUP BY doc), stt AS (SELECT count(*) AS n, avg(len) AS avg FROM sz), qt AS (SELECT DISTINCT unnest({_TOK(_Q('nightly export webhook queue'))}) AS term),
+        po AS (SELECT doc, term, sum(w) AS f FROM wt SEMI JOIN qt USING (term) GROUP BY doc, term), dfr AS (SELECT term, count(*) AS df FROM po GROUP BY term),
+        s AS (SELECT doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg))) AS s, count(*) AS hits FROM po JOIN dfr USING (term) JOIN sz USING (doc) CROSS JOIN stt GROUP BY doc)
+        SELECT doc, CAST(floor(score * 1e6 + 0.5) AS BIGINT) AS score_e6, hits FROM (SELECT doc, hits, s * (hits / (SELECT count(*) FROM qt)) * (hits / (SELECT count(*) FROM qt)) AS score FROM s) ORDER BY score DESC, doc LIMIT 20""",
+    "positional_zip": _WITH + ", cl AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY row_id, pos) AS n, b.id AS call_id FROM block WHERE b.type = 'tool_use'), rs AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY row_id, pos) AS n, b.tool_use_id AS result_id FROM block WHERE b.type = 'tool_result') SELECT session, count(*) AS pairs, count(*) FILTER (call_id = result_id) AS same FROM cl FULL JOIN rs USING (session, n) GROUP BY session",
+}
