@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import consensus, conversations, mixture, runs, splits, subjects, tokens
+from weftline.llm import consensus, conversations, mixture, pii, runs, splits, subjects, tokens
 from weftline.operators.stage import written
 from weftline.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found_in_blocks(pii.text_blocks(table(spark, d, "claude")))
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every text block with typed placeholders in place of personal data."""
+    return pii.mask_texts(pii.text_blocks(table(spark, d, "claude")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus(table(spark, d, "gold_labels")).select("item_key", "label_field", "label_value")
 
@@ -95,5 +104,5 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(table(spark, d, "documents"), _subjects(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_reliability, p2_agreement, p3_found, p3_splits, p4_found, p4_runs, p7_found, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_reliability, p2_agreement, p3_found, p3_splits, p4_found, p4_runs, p7_found, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_composition)}
 SQL: dict[str, str] = {}

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.records import plain_session, role_of
+from weftline.operators.graph import connected_components
 from weftline.operators.stage import salted_left_join, written
 
 GIANTS = 2000
@@ -44,26 +45,6 @@ def session_links(records: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of ``links``; the component is its least node.
-
-    Each round takes the least label of the neighbours, then the label of that label. It ends when no label changes;
-    ``rounds`` is a guard that raises, not a cut.
-    """
-    edges = written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))))
-    labels = written(edges.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")))
-    for _ in range(rounds):
-        other = labels.select(F.col("node").alias("other"), F.col("component").alias("near"))
-        least = salted_left_join(edges, other, ["other"]).groupBy("node").agg(F.min("near").alias("near"))
-        step = labels.join(least, "node").select("node", "component", F.least("component", "near").alias("next"))
-        far = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
-        new = written(salted_left_join(step, far, ["next"]).select("node", F.least("next", "far").alias("component"), (F.least("next", "far") != F.col("component")).alias("changed")))
-        labels = new.select("node", "component")
-        if new.where("changed").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle within {rounds} rounds")
-
-
 def judgment_nodes(table: DataFrame) -> DataFrame:
     """Records as (row_id, uuid, parent, message_id, session, node, label, role and permission); a record without a session is a node of its own uuid."""
     session = plain_session(F.col("sessionId"))
@@ -77,7 +58,7 @@ def judgment_nodes(table: DataFrame) -> DataFrame:
 def linked_pairs(records: DataFrame) -> DataFrame:
     """All pairs session_a < session_b of different sessions of one component, as the definition of the case list asks."""
     session = records.where(F.col("session").isNotNull())
-    c = components(session_links(session.withColumn("node", F.col("session"))))
+    c = connected_components(session_links(session.withColumn("node", F.col("session"))))
     a = c.select("component", F.col("node").alias("session_a"))
     b = c.select("component", F.col("node").alias("session_b"))
     return a.join(b, "component").where("session_a < session_b").select("session_a", "session_b")
@@ -126,7 +107,7 @@ def assign_splits(records: DataFrame, targets: DataFrame) -> DataFrame:
         return records.withColumn("split_name", F.lit(None).cast("string"))
     names, shares = [r[0] for r in goal], np.array([r[1] for r in goal], dtype=float)
     shares /= shares.sum()
-    comp = components(session_links(records))
+    comp = connected_components(session_links(records))
     per_node = written(records.groupBy("node", "label").agg(F.count("*").alias("n")))
     tagged = salted_left_join(per_node, comp, ["node"]).withColumn("component", F.coalesce("component", "node"))
     sizes = written(tagged.groupBy("component", "label").agg(F.sum("n").alias("n")))
