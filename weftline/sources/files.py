@@ -59,11 +59,13 @@ def _chat_rows(raw: DataFrame) -> DataFrame:
     """The table of a chat log from its lines; content given as a plain string is one text block, results keep arrays as JSON text."""
     r = raw.where(F.length("raw") >= 20).select("file", "line_no", F.from_json("raw", CHAT).alias("r")).where("r is not null")
     c = F.col("r.message.content")
-    blocks = F.when(c.rlike(r"^\s*\["), F.from_json(c, f"array<struct<{_BLOCK.replace(' string', ':string').replace(' boolean', ':boolean')}>>")).when(
-        c.isNotNull(), F.array(F.struct(*[(F.lit("text") if n == "type" else c if n == "text" else F.lit(None).cast(t)).alias(n) for n, t in (x.split(" ") for x in _BLOCK.split(", "))])))
+    kinds = [x.split(" ") for x in _BLOCK.split(", ")]
+    as_text = F.array(F.struct(*[(F.lit("text") if n == "type" else c if n == "text" else F.lit(None).cast(t)).alias(n) for n, t in kinds]))
+    as_blocks = F.from_json(c, "array<struct<" + ", ".join(f"{n}: {t}" for n, t in kinds) + ">>")
+    blocks = F.when(c.rlike(r"^\s*\["), as_blocks).when(c.isNotNull(), as_text)
     m = F.struct(*[F.col(f"r.message.{k}").alias(k) for k in ("role", "model", "id", "usage")], blocks.alias("content"))
     top = [F.col(f"r.{k}").alias(k) for k in ("uuid", "parentUuid", "type", "timestamp", "cwd", "sessionId", "isSidechain", "permissionMode", "machine")]
-    uuid = F.coalesce("uuid", F.concat_ws("#", "file", F.col("line_no").cast("string")))
+    uuid = F.coalesce("uuid", F.concat_ws("#", "file", F.col("row_id").cast("string")))
     df = r.select("file", F.col("line_no").cast("bigint").alias("row_id"), *top, m.alias("message"))
     return df.withColumn("uuid", uuid).withColumn("ingested_at", F.try_to_timestamp("timestamp"))
 
