@@ -1,0 +1,94 @@
+import numpy as np
+import pytest
+
+from weftline.llm import pii
+from weftline.llm.pii_train import CASES, NEAR, Generator, _batch, scores, tags_of, train
+
+
+def test_generator_knows_its_spans():
+    g = Generator(5)
+    for _ in range(300):
+        text, spans = g.text()
+        for a, b, kind in spans:
+            assert 0 <= a < b <= len(text) and kind in pii.KINDS and text[a:b].strip() == text[a:b]
+    assert all(not g.line(t)[1] for t in NEAR) and all(g.line(t)[1] for t in CASES)
+
+
+def test_gradient():
+    t = pii.Tagger.fresh(5, 1)
+    t.w = {k: v.astype(np.float64) for k, v in t.w.items()}
+    g, rows = Generator(3), []
+    while len(rows) < 3:
+        s, spans = g.text()
+        if 5 < len(s) < 60:
+            rows.append((pii.encode_chars(s), tags_of(s, spans)))
+    x, y, n = _batch(rows)
+    _, grad = t.loss(x, y, n)
+    r = np.random.default_rng(0)
+    for k, w in t.w.items():
+        for _ in range(4):
+            i = tuple(int(r.integers(0, s)) for s in w.shape)
+            if k == "x":
+                i = (i[0], int(r.choice(x[x > 0])), i[2])
+            o = w[i]
+            w[i] = o + 1e-3
+            up = t.loss(x, y, n)[0]
+            w[i] = o - 1e-3
+            down = t.loss(x, y, n)[0]
+            w[i] = o
+            assert grad[k][i] == pytest.approx((up - down) / 2e-3, abs=2e-5)
+
+
+def test_training_learns_from_labelled_spans():
+    small = train(texts=3000, hidden=24, epochs=4, batch=32, rate=8e-3, log=lambda *a, **k: None)
+    assert scores(small, 200)["email"][1] > 0.5
+
+
+def test_held_out_accuracy_of_the_shipped_weights():
+    for kind, (precision, recall) in scores(pii.tagger(pii.MODEL), 600, seed=123).items():
+        assert precision > 0.97 and recall > 0.97, kind
+
+
+def test_viterbi_is_the_best_path():
+    t = pii.tagger(pii.MODEL)
+    r = np.random.default_rng(2)
+    e = r.normal(0, 2, (3, 5, pii.K)).astype(np.float32)
+    n = np.array([5, 3, 1])
+    trans = t.w["t"] + t.allowed
+    import itertools
+
+    for row, size in enumerate(n):
+        best = max(itertools.product(range(pii.K), repeat=int(size)), key=lambda p: trans[pii.K, p[0]] + e[row, 0, p[0]] + sum(trans[a, b] + e[row, i + 1, b] for i, (a, b) in enumerate(zip(p, p[1:])))) if size <= 3 else None
+        if best:
+            assert t.viterbi(e, n)[row, :size].tolist() == list(best)
+
+
+def test_windows_agree_with_whole_texts():
+    """A datum is found wherever it lies in a long text, across the borders of windows too."""
+    t = pii.tagger(pii.MODEL)
+    filler = "The check is still red. Trying a smaller change in src/auth/login.py. "
+    for pad in range(250, 420, 17):
+        text = (filler * 8)[:pad] + "\nReviewed-by: Viktor Pomerova\nmailto:ana.dravecki@example.com\n" + filler * 6
+        got = [(text[a:b], k) for a, b, k in t.find([text])[0]]
+        assert ("ana.dravecki@example.com", "email") in got and ("Viktor Pomerova", "name") in got
+    assert t.find(["", "x", "a" * 5000])[0] == []
+
+
+def test_blocks_and_masking(spark):
+    block = "struct<type: string, text: string, thinking: string, id: string, name: string, input: string, tool_use_id: string, content: string, is_error: boolean>"
+    b = lambda **k: {c: k.get(c) for c in ("type", "text", "thinking", "id", "name", "input", "tool_use_id", "content", "is_error")}
+    rows = [
+        (1, {"content": [b(text="mailto:ana.dravecki@example.com"), b(content="mailto:ana.dravecki@example.com\nmailto:ana.dravecki@example.com")]}, "x"),
+        (1, {"content": [b(text="mailto:ana.dravecki@example.com")]}, "y"), (2, {"content": [b(text=None), b(text=""), b(text="  ")]}, None), (3, None, None), (4, {"content": None}, None), (5, {"content": [b(text="remote is git@code.example:team/x.git")]}, None),
+    ]
+    df = spark.createDataFrame(rows, f"row_id long, message struct<content: array<{block}>>, pii_text string")
+    blocks = pii.text_blocks(df)
+    got = sorted(map(tuple, pii.found_in_blocks(blocks).collect()))
+    assert got == [(1, 0, "email", "ana.dravecki@example.com"), (1, 1, "email", "ana.dravecki@example.com")]
+    masked = {(r.row_id, r.block_no, r.text) for r in pii.mask_texts(blocks).collect()}
+    assert (1, 1, "mailto:[EMAIL]\nmailto:[EMAIL]") in masked and (5, 0, "remote is git@code.example:team/x.git") in masked
+    assert pii.found_in_blocks(blocks.where("false")).count() == 0
+
+
+def test_replacement():
+    assert pii.replaced("a bb c", [(2, 4, "name")]) == "a [NAME] c" and pii.replaced("abc", []) == "abc" and pii.replaced("abcd", [(0, 3, "name"), (1, 2, "email")]) == "[NAME]d"

@@ -84,13 +84,13 @@ def input_signature(text: Column) -> Column:
     JSON gets its keys in order at every level; text that is not JSON is taken as it is. Null and blank give ''.
     """
     canonical = F.coalesce(F.to_json(F.try_parse_json(text)), text)
-    s = F.regexp_replace(canonical, r"\\[nrtf]|[\s\p{Z}]+", "")
+    s = F.regexp_replace(canonical, r"\\[nrtf]|[\s\p{Z}]+", " ")
     s = F.regexp_replace(s, r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])", "#")
-    s = F.regexp_replace(s, r"(?<![0-9A-Za-z])\d{4}-\d{2}-\d{2}(?:T?\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:Z|UTC|[+-]\d{2}:?\d{2})?)?(?![0-9A-Za-z])", "#")
+    s = F.regexp_replace(s, r"(?<![0-9A-Za-z])\d{4}-\d{2}-\d{2}(?:[T ]?\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?: ?(?:Z|UTC|[+-]\d{2}:?\d{2}))?)?(?![0-9A-Za-z])", "#")
     s = F.regexp_replace(s, r"(?<![0-9A-Za-z])\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?![0-9A-Za-z])", "#")
     s = F.regexp_replace(s, r"(?<![0-9A-Za-z])(?:0[xX][0-9A-Fa-f]+|(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{6,})(?![0-9A-Za-z])", "#")
     s = F.regexp_replace(s, r"\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?", "#")
-    return F.coalesce(s, F.lit(""))
+    return F.coalesce(F.regexp_replace(s, " ", ""), F.lit(""))
 
 
 def dated(events: DataFrame, records: DataFrame) -> DataFrame:

@@ -68,7 +68,8 @@ def place(counts: np.ndarray, need: np.ndarray) -> np.ndarray:
     """Split of each group: ``counts`` is groups x labels, ``need`` splits x labels and is used up in place.
 
     The label with the fewest records outstanding comes first; of the groups with this label the one with most of it;
-    into the split that needs most of the label, at a tie the one that needs most records, at a tie the first.
+    into the split that needs most of the label; of splits whose need differs by less than what the group brings, the one
+    that needs most records, at a tie the first.
     """
     n, labels = counts.shape
     out = np.full(n, -1, dtype=np.int64)
@@ -89,7 +90,8 @@ def place(counts: np.ndarray, need: np.ndarray) -> np.ndarray:
             left[k] = 0
             continue
         g = int(seq[i])
-        s = max(range(len(need)), key=lambda j: (need[j, k], sums[j], -j))
+        near = need[:, k] > need[:, k].max() - max(counts[g, k], 1)
+        s = max(np.flatnonzero(near), key=lambda j: (sums[j], need[j, k], -j))
         out[g] = s
         need[s] -= counts[g]
         sums[s] -= counts[g].sum()

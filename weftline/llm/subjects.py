@@ -102,7 +102,7 @@ def scores(evidence: DataFrame, base: DataFrame, z: float = 1.5) -> DataFrame:
     return evidence.join(total, "phrase").join(base, "subject").select("phrase", "subject", ((low - F.col("p")) / (1 - F.col("p"))).alias("score"), "all")
 
 
-def verified(evidence: DataFrame, free: DataFrame | None, base: DataFrame, least: float = 0.4, support: float = 2.0, enough: float = 3.0) -> DataFrame:
+def verified(evidence: DataFrame, free: DataFrame | None, base: DataFrame, least: float = 0.3, support: float = 2.0, enough: float = 3.0) -> DataFrame:
     """(phrase, subject, score) of phrases that stand for one subject: the largest score is at least ``least``, on ``support`` or more.
 
     ``free`` is the evidence of the occurrences that no longer verified phrase covers: where there is ``enough`` of it,
@@ -146,9 +146,15 @@ def propagate(graph: Graph, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame
         total = down.groupBy("subject").agg(F.sum("n").alias("n"))
         base = written(total.join(total.agg(F.sum("n").alias("all"))).select("subject", (F.col("n") / F.col("all")).alias("p")))
         evidence = written(evidence_of(graph.occurrences, down))
-        marks = written(graph.occurrences.join(verified(evidence, None, base), "phrase"))
-        known = verified(evidence, evidence_of(uncovered(graph.occurrences, marks), down), base)
-        topical = written(standing(graph.occurrences.join(known, "phrase")))
+        # From long phrases to short: a short one is judged by what no accepted longer one covers.
+        marks = None
+        for k in range(WORDS, 0, -1):
+            mine = graph.occurrences.where(F.col("stop") - F.col("start") == k - 1)
+            of_length = evidence.where(F.size(F.split("phrase", " ")) == k)
+            free = None if marks is None else evidence_of(uncovered(mine, marks), down)
+            new = written(mine.join(verified(of_length, free, base), "phrase"))
+            marks = new if marks is None else marks.unionByName(new)
+        topical = written(standing(marks))
         if i == rounds - 1:
             return topical
         said = graph.edges.join(topical, "seg").groupBy("doc_id", "subject").agg(F.sum("times").alias("c"))
