@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import drift, evaluation, instants, sessions, streams, work
+from weftline.plans import drift, evaluation, extra, instants, sessions, streams, work
 
-MODULES = (instants, drift, sessions, work, evaluation, streams)
+MODULES = (instants, drift, sessions, work, evaluation, extra, streams)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in getattr(m, "SQL", {}).items()}
