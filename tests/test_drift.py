@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from weftline.operators.drift import Target, cast, changes, file_fields, ingest, name_likeness, pattern_of_text
 
 T = Target(
@@ -59,6 +61,11 @@ def test_no_change_without_cause(spark):
     assert changes(file_fields(ingest(table(spark, []), T), T)).count() == 0
 
 
+def test_files_without_a_day(spark):
+    df = table(spark, [("1", [{"id": "x"}]), ("2", [{"id": "y", "n": 1}])]).withColumn("written_on", F.lit(None).cast("date"))
+    assert [tuple(r)[1:4] for r in changes(file_fields(ingest(df, T), T)).collect()] == [("2", "added", "n")]
+
+
 def test_flags_are_not_paired_by_value(spark):
     assert report(spark, [("1", [{"id": "x", "success": True}]), ("2", [{"id": "y", "truncated": True}])]) == {("2", "removed", "success", ""), ("2", "added", "truncated", "")}
 

@@ -251,7 +251,7 @@ def file_fields(ingested: DataFrame, target: Target) -> DataFrame:
             yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["feed", "written_on", "file_name", "path", "type", "pattern", "n"])
 
     cols = ingested.where(F.col("readable") & F.col("feed").isNotNull() & F.col("file_name").isNotNull())
-    cols = cols.select("client", "feed", "written_on", "file_name", *names, "rescued", "replayed")
+    cols = cols.select("client", "feed", F.coalesce("written_on", F.lit("")).alias("written_on"), "file_name", *names, "rescued", "replayed")
     out = cols.mapInPandas(kernel, "feed string, written_on string, file_name string, path string, type string, pattern string, n bigint")
     return out.groupBy("feed", "written_on", "file_name", "path", "type", "pattern").agg(F.sum("n").alias("n"))
 
@@ -295,7 +295,7 @@ def name_likeness(a: str, b: str) -> float:
 def changes(fields: DataFrame, least: float = 0.5) -> DataFrame:
     """(feed, file_name, change_kind, field_path, new_path): each change from one file of a feed to the next.
 
-    Files follow each other by ``written_on``, then name; files without a readable line have no fields and are passed
+    Files follow each other by ``written_on`` (those without a day first), then name; files without a readable line have no fields and are passed
     over. A field that vanishes and one of the same parent and type that appears are one renamed field if their values
     look alike (shared share of value patterns of at least ``least``) or their names do, each being the best partner of
     the other; two flags need names that are alike. Below a retyped or renamed field nothing is reported.
