@@ -22,6 +22,8 @@ from weftline.operators.stage import written
 
 WORDS = 4
 ROUNDS = 2
+#: Most subject areas that are read; each is one column of evidence.
+AREAS = 200
 
 
 def statements(documents: DataFrame) -> DataFrame:
@@ -84,47 +86,51 @@ def uncovered(occurrences: DataFrame, marks: DataFrame) -> DataFrame:
     return occurrences.join(_spans(marks), "seg", "left").where(~_covered(F.struct("start", "stop"))).drop("all")
 
 
-def evidence_of(occurrences: DataFrame, down: DataFrame) -> DataFrame:
-    """(phrase, subject, n): what the documents say of each phrase; ``down`` (seg, subject, n) is what they say of each part."""
-    return occurrences.select("seg", "phrase").distinct().join(down, "seg").groupBy("phrase", "subject").agg(F.sum("n").alias("n"))
+def _cols(n: int) -> list[str]:
+    """One column of evidence per subject area; the areas are a small fixed table."""
+    return [f"s{k}" for k in range(n)]
 
 
-def scores(evidence: DataFrame, base: DataFrame, z: float = 1.5) -> DataFrame:
-    """(phrase, subject, score, all) from evidence (phrase, subject, n) and the subjects' shares ``base`` (subject, p) of all evidence.
+def evidence_of(occurrences: DataFrame, down: DataFrame) -> DataFrame:
+    """(phrase, s0, ...): what the documents say of each phrase; ``down`` (seg, s0, ...) is what they say of each part."""
+    cols = [c for c in down.columns if c != "seg"]
+    return occurrences.select("seg", "phrase").distinct().join(down, "seg").groupBy("phrase").agg(*[F.sum(c).alias(c) for c in cols])
 
-    The score says how far the subject's share of the phrase is beyond chance: the lower end of its Wilson interval,
-    less the base share, divided by what there is beyond the base share. Wording that says nothing has about 0.
-    """
-    total = evidence.groupBy("phrase").agg(F.sum("n").alias("all"))
-    share = F.col("n") / F.col("all")
-    n = F.col("all")
-    low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    return evidence.join(total, "phrase").join(base, "subject").select("phrase", "subject", ((low - F.col("p")) / (1 - F.col("p"))).alias("score"), "all")
 
+def score(n: Column, total: Column, base: float, z: float) -> Column:
+    """How far a subject's share of a phrase is beyond chance: the lower end of its Wilson interval, less the subject's share
+    ``base`` of all evidence, divided by what there is beyond that. Wording that says nothing has about 0."""
+    share = n / total
+    low = (share + z * z / (2 * total) - z * F.sqrt(F.greatest(F.lit(0.0), share * (1 - share) / total + z * z / (4 * total * total)))) / (1 + z * z / total)
+    return (low - base) / (1 - base) if base < 1 else low - base
 
-def verified(evidence: DataFrame, free: DataFrame | None, base: DataFrame, least: float = 0.3, support: float = 2.0, enough: float = 3.0) -> DataFrame:
-    """(phrase, subject, score) of phrases that stand for one subject: the largest score is at least ``least``, on ``support`` or more.
+
+def verified(evidence: DataFrame, free: DataFrame | None, base: list[float], least: float = 0.3, support: float = 2.0, enough: float = 3.0) -> DataFrame:
+    """(phrase, subject, score) of phrases that stand for one subject, given by its number: the largest score is at least ``least``, on ``support`` or more.
 
     ``free`` is the evidence of the occurrences that no longer verified phrase covers: where there is ``enough`` of it,
     it has to speak for the same subject with at least half of ``least``, so a word that only belongs to a term of two
     words, or to a figure of speech, does not pass.
     """
-    top = scores(evidence, base).groupBy("phrase").agg(F.max_by("subject", F.struct("score", "subject")).alias("subject"), F.max("score").alias("score"), F.max("all").alias("all"))
-    known = top.where((F.col("score") >= least) & (F.col("all") >= support)).select("phrase", "subject", "score")
+    cols = _cols(len(base))
+    total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
+    best = F.array_max(F.array(*[F.struct(score(F.col(c), F.col("all"), p, 1.5).alias("score"), F.lit(k).alias("subject")) for k, (c, p) in enumerate(zip(cols, base))]))
+    known = evidence.withColumn("all", total).where(F.col("all") >= support).select("phrase", best.alias("b")).where(F.col("b.score") >= least).select("phrase", "b.subject", "b.score")
     if free is None:
         return known
-    against = scores(free, base, 0.5).where(F.col("all") >= enough)
-    heard = against.groupBy("phrase").agg(F.lit(True).alias("heard"))
-    for_it = against.where(F.col("score") >= least / 2).select("phrase", "subject").withColumn("fits", F.lit(True))
-    return known.join(heard, "phrase", "left").join(for_it, ["phrase", "subject"], "left").where(F.col("heard").isNull() | F.col("fits")).select("phrase", "subject", "score")
+    heard = free.withColumn("all", total).where(F.col("all") >= enough).select("phrase", F.array(*[score(F.col(c), F.col("all"), p, 0.5) for c, p in zip(cols, base)]).alias("free"))
+    return known.join(heard, "phrase", "left").where(F.col("free").isNull() | (F.element_at("free", F.col("subject") + 1) >= least / 2)).select("phrase", "subject", "score")
+
+
+def seeds_of(labels: DataFrame, names: list[str], documents: DataFrame) -> DataFrame:
+    """(doc_id, s0, ...): the labels that name a subject area, as shares of the document's labels."""
+    ok = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(names))
+    return _shares(ok.groupBy("doc_id").agg(*[F.count_if(F.col("subject") == x).cast("double").alias(c) for x, c in zip(names, _cols(len(names)))]), len(names))
 
 
-def seeds_of(labels: DataFrame, areas: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc_id, subject, n): the labels that name a subject area and a document; n is the share of the document's labels."""
-    ok = labels.withColumn("subject", F.lower(F.trim("subject"))).join(areas.select(F.lower(F.trim("subject")).alias("subject")).distinct(), "subject", "left_semi")
-    ok = ok.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "subject").agg(F.count("*").alias("c"))
-    total = ok.groupBy("doc_id").agg(F.sum("c").alias("all"))
-    return ok.join(total, "doc_id").select("doc_id", "subject", (F.col("c") / F.col("all")).alias("n"))
+def _shares(counts: DataFrame, n: int) -> DataFrame:
+    total = sum((F.col(c) for c in _cols(n)[1:]), F.col("s0"))
+    return counts.withColumn("_all", total).where("_all > 0").select("doc_id", *[(F.col(c) / F.col("_all")).alias(c) for c in _cols(n)])
 
 
 class Graph:
@@ -137,33 +143,32 @@ class Graph:
         self.occurrences = written(phrases(rows.groupBy("seg").agg(F.first("part").alias("part"))))
 
 
-def propagate(graph: Graph, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(seg, subject): the subjects of every part of a statement after ``rounds`` rounds down and up the graph."""
+def propagate(graph: Graph, seeds: DataFrame, n: int, rounds: int = ROUNDS) -> DataFrame:
+    """(seg, subject): the subjects, by number, of every part of a statement after ``rounds`` rounds down and up the graph."""
+    cols = _cols(n)
     belief = seeds = written(seeds)
     for i in range(rounds):
         # A document of several subjects says less about each of its statements: its shares count squared.
-        down = written(graph.edges.join(belief, "doc_id").groupBy("seg", "subject").agg(F.sum(F.col("n") * F.col("n") * F.col("times")).alias("n")))
-        total = down.groupBy("subject").agg(F.sum("n").alias("n"))
-        base = written(total.join(total.agg(F.sum("n").alias("all"))).select("subject", (F.col("n") / F.col("all")).alias("p")))
-        evidence = written(evidence_of(graph.occurrences, down))
+        down = written(graph.edges.join(belief, "doc_id").groupBy("seg").agg(*[F.sum(F.col(c) * F.col(c) * F.col("times")).alias(c) for c in cols]))
+        sums = [x or 0.0 for x in down.agg(*[F.sum(c) for c in cols]).first()]
+        base = [x / (sum(sums) or 1.0) for x in sums]
+        evidence = written(evidence_of(graph.occurrences, down).withColumn("words", F.size(F.split("phrase", " "))))
         # From long phrases to short: a short one is judged by what no accepted longer one covers.
         marks = None
         for k in range(WORDS, 0, -1):
             mine = graph.occurrences.where(F.col("stop") - F.col("start") == k - 1)
-            of_length = evidence.where(F.size(F.split("phrase", " ")) == k)
             free = None if marks is None else evidence_of(uncovered(mine, marks), down)
-            new = written(mine.join(verified(of_length, free, base), "phrase"))
+            new = written(mine.join(verified(evidence.where(F.col("words") == k), free, base), "phrase"))
             marks = new if marks is None else marks.unionByName(new)
         topical = written(standing(marks))
         if i == rounds - 1:
             return topical
-        said = graph.edges.join(topical, "seg").groupBy("doc_id", "subject").agg(F.sum("times").alias("c"))
-        whole = said.groupBy("doc_id").agg(F.sum("c").alias("all"))
-        heard = written(said.join(whole, "doc_id").select("doc_id", "subject", (F.col("c") / F.col("all")).alias("n")))
-        trusted = seeds.join(heard.select("doc_id", "subject"), ["doc_id", "subject"], "left_semi").select("doc_id").distinct()
-        clamped = seeds.join(trusted, "doc_id", "left_semi").select("doc_id", "subject", (F.col("n") / 2).alias("n"))
-        half = heard.join(trusted.withColumn("half", F.lit(0.5)), "doc_id", "left").select("doc_id", "subject", (F.col("n") * F.coalesce("half", F.lit(1.0))).alias("n"))
-        belief = written(half.unionByName(clamped).groupBy("doc_id", "subject").agg(F.sum("n").alias("n")))
+        said = graph.edges.join(topical, "seg").groupBy("doc_id").agg(*[F.sum(F.when(F.col("subject") == k, F.col("times")).otherwise(0)).cast("double").alias(c) for k, c in enumerate(cols)])
+        heard = _shares(said, n).select("doc_id", F.array(*cols).alias("h"))
+        both = heard.join(seeds.select("doc_id", F.array(*cols).alias("l")), "doc_id", "left")
+        # A labelled document is clamped to its labels, half and half, where the graph hears one of them.
+        trusted = F.coalesce(F.exists(F.arrays_zip("h", "l"), lambda x: (x["h"] > 0) & (x["l"] > 0)), F.lit(False))
+        belief = written(both.select("doc_id", *[F.when(trusted, (F.col("h")[k] + F.col("l")[k]) / 2).otherwise(F.col("h")[k]).alias(c) for k, c in enumerate(cols)]))
     raise ValueError("rounds must be at least 1")
 
 
@@ -171,10 +176,14 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, round
     """(doc_id, subject): subjects that two or more statements of the document deal with, or its only statement.
 
     An addition that (nearly) never opens a line anywhere in the corpus, and a line that is no sentence, is no statement
-    of its own. Documents without a subject have no row; doubled documents have their rows each; empty tables give none.
+    of its own. Documents without a subject have no row; doubled documents have their rows each; empty tables give
+    none. ``areas`` is a small fixed table (at most AREAS rows are read); labels that name no area are left out.
     """
+    names = [r[0] for r in areas.select(F.lower(F.trim("subject")).alias("s")).where("s is not null").distinct().orderBy("s").limit(AREAS).collect()]
+    if not names:
+        return documents.select("doc_id", F.lit(None).cast("string").alias("subject")).where("false")
     graph = Graph(documents)
-    topical = propagate(graph, seeds_of(labels, areas, documents), rounds)
+    topical = propagate(graph, seeds_of(labels, names, documents), len(names), rounds)
     about = written(graph.rows.join(topical, "seg").select("doc_id", "no", "sid", "subject").distinct())
     said = about.groupBy("doc_id", "subject").agg(F.count("*").alias("c"))
     each = graph.rows.select("doc_id", "no", "sid", "opens", "whole").distinct()
@@ -182,7 +191,8 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, round
     plain = usual.where(F.col("whole") & ~((F.col("n") >= 5) & ~F.col("opening").between(0.02, 0.98))).select("sid")
     counted = about.select("sid").unionByName(plain).distinct()
     total = each.join(counted, "sid").groupBy("doc_id").agg(F.count("*").alias("all"))
-    return said.join(total, "doc_id").where((F.col("c") >= 2) | (F.col("all") == 1)).select("doc_id", "subject")
+    word = F.element_at(F.array(*map(F.lit, names)), F.col("subject") + 1)
+    return said.join(total, "doc_id").where((F.col("c") >= 2) | (F.col("all") == 1)).select("doc_id", word.alias("subject"))
 
 
 def composition(documents: DataFrame, found: DataFrame) -> DataFrame:
