@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftline.llm.records import has_text, ordered_chunks, role_of
+from weftline.llm.records import ordered_chunks, role_of
 from weftline.operators.instants import to_instants
 from weftline.operators.stage import written
 
@@ -93,44 +93,44 @@ def input_signature(text: Column) -> Column:
     return F.coalesce(F.regexp_replace(s, " ", ""), F.lit(""))
 
 
-def dated(events: DataFrame, records: DataFrame) -> DataFrame:
-    """``events`` with ``ms`` filled where it is null: by the instant of the record followed, or else of the delivery."""
-    undated = events.where(F.col("ms").isNull())
-    lost = undated.where(F.col("parentUuid").isNotNull()).select(F.col("parentUuid").alias("uuid")).distinct()
-    known = records.where(F.col("utc_ms").isNotNull()).join(lost, "uuid", "left_semi").groupBy(F.col("uuid").alias("parentUuid")).agg(F.min("utc_ms").alias("_near"))
-    delivered = F.unix_millis(F.col("ingested_at").cast("timestamp"))
-    filled = undated.join(known, "parentUuid", "left").withColumn("ms", F.coalesce("_near", delivered)).drop("_near")
-    return events.where(F.col("ms").isNotNull()).unionByName(filled)
+def compact(claude: DataFrame) -> DataFrame:
+    """The main-chain records of sessions, each with its blocks cut down to what runs need; the one reading of the log.
+
+    A block is (kind, ident, sig, err): a call with its id and the hash of tool and input, a result with the id of its
+    call and its error flag, a text of the person. Other blocks fall away, records stay: they date those that follow.
+    """
+    main = claude.where(F.col("sessionId").isNotNull() & F.col("message").isNotNull() & ~F.coalesce("isSidechain", F.lit(False)))
+    person = F.coalesce(role_of(F.col("message.role")), F.col("type")) == "user"
+    filled = lambda b: F.coalesce(b["text"].rlike(r"[^\s\p{Z}]"), F.lit(False))
+    kind = lambda b: F.when(b["type"] == "tool_use", "call").when(b["type"] == "tool_result", "result").when((b["type"] == "text") & person & filled(b), "person")
+    sig = lambda b: F.when(b["type"] == "tool_use", F.unhex(F.md5(F.concat_ws("\x1f", F.lower(F.trim(b["name"])), input_signature(b["input"])))))
+    slim = F.transform("message.content", lambda b, k: F.struct(k.alias("place"), kind(b).alias("kind"), F.coalesce(b["id"], b["tool_use_id"]).alias("ident"), sig(b).alias("sig"), F.coalesce(b["is_error"], F.lit(False)).alias("err")))
+    blocks = F.filter(slim, lambda b: b["kind"].isNotNull())
+    uuid = F.coalesce("uuid", F.concat(F.lit("row:"), F.col("row_id").cast("string")))
+    return main.select("row_id", uuid.alias("uuid"), "parentUuid", F.col("sessionId").alias("entity"), "timestamp", "machine", F.unix_millis(F.col("ingested_at").cast("timestamp")).alias("delivered"), blocks.alias("blocks"))
 
 
 def call_events(claude: DataFrame, machines: DataFrame) -> DataFrame:
     """The calls of the main chain and the texts of the person as events of their session.
 
     A doubled record counts once (by uuid; the first delivery stands). A record without an instant takes that of the
-    record it follows, or else that of its delivery. A call without a result, and a text of the person, have a null anchor.
+    record it follows, or else that of its delivery. A call without a result, and a text of the person, have a null
+    anchor.
     """
-    rows = claude.where(F.col("sessionId").isNotNull() & F.col("message").isNotNull())
-    main = rows.where(~F.coalesce("isSidechain", F.lit(False)))
-    kinds = F.transform(F.col("message.content"), lambda b: b["type"])
-    calls_in = F.coalesce(F.array_contains(kinds, "tool_use"), F.lit(False))
-    person = (F.coalesce(role_of(F.col("message.role")), F.col("type")) == "user") & has_text(F.col("message.content"))
-    slim = main.where(calls_in | person).select("row_id", F.coalesce("uuid", F.concat(F.lit("row:"), "row_id")).alias("uuid"), "parentUuid", "sessionId", "timestamp", "machine", "ingested_at", person.alias("person"), "message.content")
-    timed = to_instants(slim, "timestamp", machines).withColumnRenamed("utc_ms", "ms")
-    timed = dated(timed, to_instants(claude.select("uuid", "timestamp", "machine"), "timestamp", machines))
-    block = timed.select("row_id", "uuid", "sessionId", "ms", "person", F.posexplode(F.filter("content", lambda b: F.lit(True))).alias("place", "b"))
-    person_text = F.col("person") & (F.col("b.type") == "text") & F.col("b.text").rlike(r"[^\s\p{Z}]")
-    block = block.where((F.col("b.type") == "tool_use") | person_text)
-    event = block.select(
-        F.col("sessionId").alias("entity"), "ms", "place", "row_id", "uuid", F.when(F.col("b.type") == "tool_use", F.col("b.id")).alias("ident"),
-        F.when(F.col("b.type") == "tool_use", F.md5(F.concat_ws("\x1f", F.lower(F.trim("b.name")), input_signature(F.col("b.input"))))).alias("signature"),
-    )
-    keep = ["ident", "signature", "ms", "row_id"]
-    event = event.groupBy("entity", "uuid", "place").agg(*[F.min_by(c, "row_id").alias(c) for c in keep])
-    result = main.where(F.coalesce(F.array_contains(kinds, "tool_result"), F.lit(False))).select("sessionId", "row_id", F.explode("message.content").alias("b"))
-    result = result.where((F.col("b.type") == "tool_result") & F.col("b.tool_use_id").isNotNull())
-    result = result.groupBy(F.col("sessionId").alias("entity"), F.col("b.tool_use_id").alias("ident")).agg(F.min_by(F.coalesce("b.is_error", F.lit(False)), "row_id").alias("outcome"))
-    calls = event.where(F.col("ident").isNotNull()).join(result, ["entity", "ident"], "left")
-    anchor = F.when(F.col("outcome").isNotNull() & F.col("signature").isNotNull(), F.concat_ws("/", "signature", F.col("outcome").cast("string")))
+    rec = written(to_instants(compact(claude), "timestamp", machines).drop("timestamp", "machine"))
+    speaks = F.exists("blocks", lambda b: b["kind"] != "result")
+    undated = rec.where(F.col("utc_ms").isNull() & speaks)
+    lost = undated.where(F.col("parentUuid").isNotNull()).select(F.col("parentUuid").alias("uuid")).distinct()
+    near = rec.where("utc_ms is not null").join(lost, "uuid", "left_semi").groupBy(F.col("uuid").alias("parentUuid")).agg(F.min("utc_ms").alias("near"))
+    filled = undated.join(near, "parentUuid", "left").withColumn("utc_ms", F.coalesce("near", "delivered"))
+    dated = rec.where(F.col("utc_ms").isNotNull() & speaks).unionByName(filled.select(*rec.columns))
+    each = dated.select("entity", "uuid", "row_id", F.col("utc_ms").alias("ms"), F.explode(F.filter("blocks", lambda b: b["kind"] != "result")).alias("b"))
+    each = each.select("entity", "uuid", "row_id", "ms", "b.*")
+    event = each.groupBy("entity", "uuid", "place").agg(F.min_by(F.struct("ident", "sig", "ms", "row_id"), "row_id").alias("e")).select("entity", "place", "e.*")
+    result = rec.select("entity", "row_id", F.explode(F.filter("blocks", lambda b: (b["kind"] == "result") & b["ident"].isNotNull())).alias("b"))
+    result = result.groupBy("entity", F.col("b.ident").alias("ident")).agg(F.min_by("b.err", "row_id").alias("outcome"))
+    calls = event.where("sig is not null and ident is not null").join(result, ["entity", "ident"], "left")
+    anchor = F.when(F.col("outcome").isNotNull(), F.concat_ws("/", F.hex("sig"), F.col("outcome").cast("string")))
     calls = calls.select("entity", anchor.alias("anchor"), "ident", "ms", "place", F.col("row_id").alias("tie"))
-    breaks = event.where(F.col("ident").isNull()).select("entity", F.lit(None).cast("string").alias("anchor"), "ident", "ms", "place", F.col("row_id").alias("tie"))
+    breaks = event.where("sig is null or ident is null").select("entity", F.lit(None).cast("string").alias("anchor"), F.lit(None).cast("string").alias("ident"), "ms", "place", F.col("row_id").alias("tie"))
     return calls.unionByName(breaks)
