@@ -198,6 +198,6 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, round
 def composition(documents: DataFrame, found: DataFrame) -> DataFrame:
     """(subject, n_docs, n_chars, doc_share) of the corpus; documents with several subjects count for each; '(none)' for the rest."""
     base = documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
-    total = base.agg(F.count("*").alias("all"))
+    n = documents.count()
     each = base.join(found, "doc_id", "left").groupBy(F.coalesce("subject", F.lit("(none)")).alias("subject")).agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("size").alias("n_chars"))
-    return each.join(F.broadcast(total)).select("subject", "n_docs", "n_chars", (F.col("n_docs") / F.col("all")).alias("doc_share"))
+    return each.select("subject", "n_docs", "n_chars", (F.col("n_docs") / F.lit(max(1, n))).alias("doc_share"))
