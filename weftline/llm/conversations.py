@@ -83,7 +83,7 @@ def assemble(records: DataFrame, chunks: int | None = None) -> DataFrame:
     has_parent = one.where(F.coalesce(F.col("parent") != "", F.lit(False)) & F.col("session").isNotNull())
     gaps = has_parent.join(one.select(F.col("record").alias("parent")), "parent", "left_anti").select("session").distinct()
     own = one.where("session is not null").withColumn("key", h("record")).withColumn("up", F.when(F.col("parent") != "", h("parent")))
-    sorted_ = ordered_chunks(own.select("session", "key", "record", F.col("up").alias("parent"), "ms", "role", "spoken", "tie"), ["session", "ms", "tie"], chunks).drop("tie")
+    sorted_ = ordered_chunks(own.select("session", "key", "record", F.col("up").alias("parent"), "ms", "role", "spoken", "tie"), ["session", "ms", "tie"], chunks, keep=False).drop("tie")
     pieces = written(sorted_.mapInPandas(chunk_fragments, PIECE))
     turn = F.col("spoken") & F.col("role").isin("user", "assistant")
     w = F.struct("place")

@@ -33,11 +33,12 @@ def has_text(content: Column) -> Column:
     return F.coalesce(F.exists(content, filled), F.lit(False))
 
 
-def ordered_chunks(df: DataFrame, by: list[str], chunks: int | None = None) -> DataFrame:
-    """``df`` written once, cut by range of ``by`` into chunks of about equal size, each sorted by ``by``.
+def ordered_chunks(df: DataFrame, by: list[str], chunks: int | None = None, keep: bool = True) -> DataFrame:
+    """``df`` cut by range of ``by`` into chunks of about equal size, each sorted by ``by``.
 
-    A session of any size is cut over several chunks, so no task holds a whole hot session.
+    A session of any size is cut over several chunks, so no task holds a whole hot session. ``df`` is read twice, to
+    find the ranges and to cut, so it is written before; without ``keep`` it is taken to be cheap to read.
     """
     spark = df.sparkSession
     n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return written(df).repartitionByRange(n, *by).sortWithinPartitions(*by)
+    return (written(df) if keep else df).repartitionByRange(n, *by).sortWithinPartitions(*by)
