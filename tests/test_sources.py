@@ -1,6 +1,7 @@
 import gzip
 import json
 import sqlite3
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -131,7 +132,7 @@ def test_stream_equals_batch_in_any_chunking(spark, data, tmp_path):
         import os
 
         os.utime(p, (1_700_000_000 + 10 * k,) * 2)
-    got = live.run_pieces(live.stream_table(spark, str(tmp_path / "in"), "claude", files=1), "chunks-" + tmp_path.name).where("n_calls > 0")
+    got = live.run_pieces(live.stream_table(spark, str(tmp_path / "in"), "claude", files=1), f"chunks-{uuid.uuid4().hex}").where("n_calls > 0")
     assert rows(got.select("session", "piece", "n_calls", "n_errs", "pending").toPandas()) == rows(want.toPandas())
 
 
