@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[int, str] = {}
+_MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,10 +32,29 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[key]
 
 
+def _drop_made() -> None:
+    """Deletes what this process left in the shared folder; what can't be deleted any more stays."""
+    for spark, path in _MADE:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  # the session may be gone
+            return
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, deleted when this process ends: results that are read later than that have to be written elsewhere."""
+    path = f"{shared_folder(spark)}/{name}"
+    if not _MADE:
+        atexit.register(_drop_made)
+    _MADE.append((spark, path))
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as a parquet table in the shared folder and read back: lineage is cut, a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
+    path = shared_path(spark, f"t-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

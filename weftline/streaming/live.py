@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.operators.events import CONTINUE
-from weftline.operators.stage import shared_folder
+from weftline.operators.stage import shared_path
 from weftline.sources.sinks import merged, upsert_log
 
 PIECE = "session string, piece bigint, n_calls bigint, n_errs bigint, pending bigint, source_ms bigint, lane string"
@@ -103,11 +103,11 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 def run_pieces(records: DataFrame, name: str) -> DataFrame:
     """Runs the stream over what is there and gives the merged table of pieces."""
     spark = records.sparkSession
-    base = f"{shared_folder(spark)}/{name}"
+    at, log = shared_path(spark, f"{name}-at"), shared_path(spark, f"{name}-log")
     stream = live_blocks(records).groupBy("session").applyInPandasWithState(_update, PIECE, "blob binary", "update", GroupStateTimeout.NoTimeout)
-    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}-at").foreachBatch(lambda df, n: upsert_log(df, n, f"{base}-log")).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", at).foreachBatch(lambda df, n: upsert_log(df, n, log)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return merged(spark, f"{base}-log", ["session", "piece"])
+    return merged(spark, log, ["session", "piece"])
 
 
 def settle(table: DataFrame, now_ms: int, quiet_ms: int = 1_800_000) -> DataFrame:
@@ -119,9 +119,9 @@ def settle(table: DataFrame, now_ms: int, quiet_ms: int = 1_800_000) -> DataFram
 def run_windows(events: DataFrame, name: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts per tumbling window and type of a stream (ts, event_type, value), with a watermark; the merged result."""
     spark = events.sparkSession
-    base = f"{shared_folder(spark)}/{name}"
+    at, log = shared_path(spark, f"{name}-at"), shared_path(spark, f"{name}-log")
     w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     rows = w.select(F.col("w.start").alias("start"), "event_type", "n", "total", F.lit("provisional").alias("lane"), F.col("n").alias("source_ms"))
-    q = rows.writeStream.outputMode("update").option("checkpointLocation", f"{base}-at").foreachBatch(lambda df, n: upsert_log(df, n, f"{base}-log")).trigger(availableNow=True).start()
+    q = rows.writeStream.outputMode("update").option("checkpointLocation", at).foreachBatch(lambda df, n: upsert_log(df, n, log)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return merged(spark, f"{base}-log", ["start", "event_type"]).drop("lane", "source_ms")
+    return merged(spark, log, ["start", "event_type"]).drop("lane", "source_ms")
