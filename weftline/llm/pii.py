@@ -7,6 +7,7 @@ the whole text finds the best sequence of tags. ``pii_train`` fits the model; it
 
 from __future__ import annotations
 
+import io
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -83,8 +84,9 @@ class Tagger:
         return cls({"x": x, "h": h * 0.7, "o": r.normal(0, 0.15, (2 * hidden, K)), "b": np.zeros(K), "t": np.zeros((K + 1, K))})
 
     @classmethod
-    def load(cls, path: str = MODEL) -> Tagger:
-        with np.load(path) as f:
+    def load(cls, source: str | bytes = MODEL) -> Tagger:
+        """The tagger of a weights file, given by its path or by its bytes."""
+        with np.load(io.BytesIO(source) if isinstance(source, bytes) else source) as f:
             return cls(dict(f))
 
     def save(self, path: str) -> None:
@@ -338,8 +340,9 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None
 
 
 @lru_cache(2)
-def tagger(path: str) -> Tagger:
-    return Tagger.load(path)
+def tagger(source: str | bytes) -> Tagger:
+    """One tagger per worker. Queries send the weights (some 170 kB) with their tasks, so no executor needs the file."""
+    return Tagger.load(source)
 
 
 def text_blocks(claude: DataFrame) -> DataFrame:
@@ -352,8 +355,10 @@ def text_blocks(claude: DataFrame) -> DataFrame:
 def find_in_texts(texts: DataFrame, path: str = MODEL) -> DataFrame:
     """(text_key, found array<struct<kind, value, start, stop>>) of the distinct texts of ``texts`` that hold personal data."""
 
+    weights = Path(path).read_bytes()
+
     def kernel(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = tagger(path)
+        model = tagger(weights)
         for pdf in batches:
             values = pdf["text"].tolist()
             found = model.find(values)
@@ -392,8 +397,10 @@ def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
 def mask_texts(blocks: DataFrame, path: str = MODEL) -> DataFrame:
     """(row_id, block_no, text) with placeholders; texts without personal data stay as they are."""
 
+    weights = Path(path).read_bytes()
+
     def kernel(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = tagger(path)
+        model = tagger(weights)
         for pdf in batches:
             values = list(dict.fromkeys(pdf["text"].tolist()))
             done = {t: replaced(t, s) for t, s in zip(values, model.find(values))}
