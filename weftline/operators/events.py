@@ -29,7 +29,7 @@ def target_of(json: Column) -> Column:
 
 def distinct_records(claude: DataFrame) -> DataFrame:
     """Main-chain records of a session, each once: the first delivery stands."""
-    rows = claude.where(F.col("sessionId").isNotNull() & F.col("message").isNotNull() & ~F.coalesce("isSidechain", F.lit(False)))
+    rows = claude.where(F.col("sessionId").isNotNull() & ~F.coalesce("isSidechain", F.lit(False)))  # no test of the whole message: it would be read for it
     keys = rows.groupBy("uuid").agg(F.min("row_id").alias("row_id"))
     return rows.join(keys.select("row_id"), "row_id", "left_semi")
 
@@ -126,7 +126,7 @@ def store_events(messages: DataFrame, parts: DataFrame) -> DataFrame:
 #: The same stream of chat events as SQL text, to be put before a query on ``ev``.
 EVENTS_SQL = f"""
 rec AS (SELECT c.row_id, c.sessionId AS session, c.ingested_at AT TIME ZONE 'UTC' AS ts, c.message.role AS role, c.message.content AS content
-        FROM claude c SEMI JOIN (SELECT min(row_id) AS row_id FROM claude WHERE sessionId IS NOT NULL AND message IS NOT NULL AND NOT coalesce(isSidechain, false) GROUP BY uuid) k ON k.row_id = c.row_id),
+        FROM claude c SEMI JOIN (SELECT min(row_id) AS row_id FROM claude WHERE sessionId IS NOT NULL AND NOT coalesce(isSidechain, false) GROUP BY uuid) k ON k.row_id = c.row_id),
 block AS (SELECT row_id, session, ts, role, unnest(content) AS b, generate_subscripts(content, 1) - 1 AS pos FROM rec),
 res AS (SELECT session, b.tool_use_id AS call_id, arg_min(struct_pack(e := b.is_error, c := b.content), row_id) AS r FROM block WHERE b.type = 'tool_result' AND b.tool_use_id IS NOT NULL GROUP BY ALL),
 raw_ev AS (SELECT session, ts, row_id, pos, b, CASE WHEN b.type = 'text' AND trim(b.text) <> '' AND role = 'user' THEN 'ask' WHEN b.type = 'text' AND trim(b.text) <> '' THEN 'say' WHEN b.type = 'tool_use' THEN 'tool' END AS kind FROM block),
