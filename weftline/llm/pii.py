@@ -347,7 +347,8 @@ def tagger(source: str | bytes) -> Tagger:
 
 def text_blocks(claude: DataFrame) -> DataFrame:
     """(row_id, block_no, text) of the text and tool results of each record's content; null and blank texts have no row."""
-    each = claude.select("row_id", F.posexplode("message.content").alias("block_no", "b"))
+    pair = F.arrays_zip(F.col("message.content.text").alias("text"), F.col("message.content.content").alias("content"))  # of the blocks, these two fields alone are read
+    each = claude.select("row_id", F.posexplode(pair).alias("block_no", "b"))
     texts = each.select("row_id", "block_no", F.explode(F.array("b.text", "b.content")).alias("text"))
     return texts.where(F.col("text").rlike(r"\S"))
 

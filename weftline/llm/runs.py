@@ -99,7 +99,7 @@ def compact(claude: DataFrame) -> DataFrame:
     A block is (kind, ident, sig, err): a call with its id and the hash of tool and input, a result with the id of its
     call and its error flag, a text of the person. Other blocks fall away, records stay: they date those that follow.
     """
-    main = claude.where(F.col("sessionId").isNotNull() & F.col("message").isNotNull() & ~F.coalesce("isSidechain", F.lit(False)))
+    main = claude.where(F.col("sessionId").isNotNull() & ~F.coalesce("isSidechain", F.lit(False)))
     person = F.coalesce(role_of(F.col("message.role")), F.col("type")) == "user"
     filled = lambda b: F.coalesce(b["text"].rlike(r"[^\s\p{Z}]"), F.lit(False))
     kind = lambda b: F.when(b["type"] == "tool_use", "call").when(b["type"] == "tool_result", "result").when((b["type"] == "text") & person & filled(b), "person")
