@@ -162,6 +162,13 @@ def test_placeholder_ids(spark):
     assert [r.m for r in df.collect()] == ["msg_01AbCdEf23", None, None, None, None, None]
 
 
+def test_ids_without_digits_are_real(spark):
+    real = ["msg_01JMSkwSBXnIJ", "msg_01DXFXCNUZkgs", "msg_01AoqlOXJjN0F", "msg_01AAAAAAAAAAB", "msg_01unknownAbC", "gen-abcdef"]
+    not_real = ["msg_01", "msg_0100000000000", "msg_01xxxxxxxxxxx", "Unknown ", "<synthetic>", "NULL", "n/a", "\t", "00000000-0000-0000-0000-000000000000", "---"]
+    df = spark.createDataFrame([(x,) for x in real + not_real], "m string").select(splits.real_id(F.col("m")).alias("m"))
+    assert [r.m for r in df.collect()] == real + [None] * len(not_real)
+
+
 LAB = "label_id long, item_key string, labeler string, labeled_at timestamp, origin string, status string, boundary string, is_repeat boolean, v string"
 
 

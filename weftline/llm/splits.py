@@ -24,10 +24,16 @@ GIANTS = 2000
 BLOCK = 20_000
 
 
+#: Words that stand for a missing id, alone or after a prefix such as ``msg_``.
+MISSING = ("unknown", "synthetic", "null", "none", "nil", "nan", "na", "undefined", "missing", "empty", "blank", "placeholder", "dummy")
+
+
 def real_id(c):
-    """A message id, or null where it only stands for a missing one: blank, or without two digits that differ from 0."""
+    """A message id, or null where its form is that of a stand-in for a missing one: blank, a word of ``MISSING``, or one
+    repeated character; each alone or after the prefix of a message id. What digits a real id holds is chance."""
     t = F.trim(c)
-    return F.when(F.regexp_replace(t, "[^1-9]", "").rlike("..") & (F.length(t) >= 8), t)
+    bare = F.regexp_replace(F.lower(t), r"[\s\p{P}\p{S}]", "")
+    return F.when(~bare.rlike(rf"^(?:msg(?:01)?|message|id)?(?:(.)\1*|{'|'.join(MISSING)})?$"), t)
 
 
 def session_links(records: DataFrame) -> DataFrame:
