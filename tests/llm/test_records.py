@@ -270,6 +270,25 @@ def test_subjects(spark):
     assert comp["(none)"] >= 5 and set(terms) <= set(comp)
 
 
+def test_copies_change_no_subject(spark):
+    docs, labels, terms = corpus()
+    remark = "The column for the goalkeeper is empty.\nThe person agreed to it at once.\nStopped here on request."
+    d = spark.createDataFrame([(i, t) for i, t, _ in docs] + [(1000 + i, remark) for i in range(7)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, s, "l") for i, s in labels], "doc_id long, subject string, labeler string")
+    area = spark.createDataFrame([(s, "x") for s in terms], "subject string, about string")
+    got = {(r.doc_id, r.subject) for r in subjects.subjects_of(d, lab, area).where("doc_id >= 1000").collect()}
+    assert not [x for x in got if x[0] < 2000]  # a remark in passing, in any number of copies
+
+
+def test_additions_follow_many_statements(spark):
+    words = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"Part {w}x is here. Nobody objected." for w in words] + [f"Item {w}x came first.\nItem {w}y came next." for w in words] + ["Rare start. Rare end."] * 30 + [f"Always opens.\nLine {w}z." for w in words]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = subjects.statements(d)
+    plain = {r.part for r in rows.join(subjects.plain_statements(rows, d), "sid", "left_semi").select("part").distinct().collect()}
+    assert "nobody objected" not in plain and {"always opens", "rare start", "rare end", "part ax is here"} <= plain
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_queries_run(spark, data, name):
     assert catalogue.QUERIES[name](spark, data).count() > 0
