@@ -163,3 +163,17 @@ def test_status_cascade_and_empty_session():
     t = Thread(1, "ask", "", 0, moves=list("pcXX"))
     assert t.status(True) == "abandoned" and Thread(1, "ask", "", 0).status(True) == "open" and Thread(1, "ask", "", 0, moves=list("hcp")).status(False) == "outcome"
     assert machine([]).rows() == [] and json.dumps(machine([Ev(0, "ask")]).rows())
+
+
+def test_evidence_is_whole(spark):
+    from weftline.plans.extra import evidence
+
+    long = "word " * 200 + "the end of the message"
+    row = lambda i, kind, full=None, err=None, r=None: ("s", i, kind, None, i, 1, full and full[:600], full, "Bash" if kind == "tool" else None, "ls" if kind == "tool" else None, err, False if kind == "tool" else None, r)
+    rows = [row(0, "ask", "first task"), row(1, "say", "a1"), row(2, "say", "a2"), row(3, "say", "a3"), row(4, "say", "a4"), row(5, "ask", "second task"), row(6, "tool", err=True, r="boom broke"), row(7, "say", long), row(8, "tool", err=False, r="fine output"), row(9, "ask", "third task")]
+    ev = spark.createDataFrame(rows, "session string, i long, kind string, ts timestamp, row_id long, pos int, text string, full string, tool string, target string, err boolean, denied boolean, r_text string")
+    think = spark.createDataFrame([("s", 7, 0, "so it is the disk"), ("s", 99, 0, "too late")], "session string, row_id long, pos int, text string")
+    got = {r.piece_id: r.evidence for r in evidence(ev, think, 14_000).collect()}["s:2"].split("\n")
+    assert got[:5] == ["[2]~AGENT: a2", "[3]~AGENT: a3", "[4]~AGENT: a4", "[5] PERSON: second task", "[6] TOOL Bash: ls => FAILED: boom broke"]
+    assert got[5] == "[r] REASONING: so it is the disk" and got[6].endswith("the end of the message") and got[7] == "[8] TOOL Bash: ls => fine output" and got[8] == "[9]~PERSON: third task"
+    assert got[9].startswith("[end] This piece's last event is [8]. The session continued for 1 more") and len(got) == 10

@@ -46,13 +46,13 @@ def outcome_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def numbered(df: DataFrame) -> DataFrame:
+def numbered(df: DataFrame, *more: str) -> DataFrame:
     order = W.partitionBy("session").orderBy("row_id", "pos")
-    return df.withColumn("i", (F.row_number().over(order) - 1).cast("bigint")).select(*COLUMNS)
+    return df.withColumn("i", (F.row_number().over(order) - 1).cast("bigint")).select(*COLUMNS, *more)
 
 
-def chat_events(claude: DataFrame) -> DataFrame:
-    """Events of a chat log (table ``claude`` or one of its schema)."""
+def chat_events(claude: DataFrame, *more: str) -> DataFrame:
+    """Events of a chat log (table ``claude`` or one of its schema); ``more`` may name pos, full (a message's whole text) and r_text (a call's whole result)."""
     rec = distinct_records(claude).select("row_id", F.col("sessionId").alias("session"), F.col("ingested_at").cast("timestamp").alias("ts"), "message.role", "message.content")
     block = rec.select("row_id", "session", "ts", "role", F.posexplode("content").alias("pos", "b"))
     filled = F.coalesce(F.trim("b.text") != "", F.lit(False))
@@ -64,9 +64,9 @@ def chat_events(claude: DataFrame) -> DataFrame:
     ev = ev.select(
         F.lit("claude").alias("client"), "session", "kind", "ts", "row_id", "pos", F.when(F.col("kind") != "tool", F.substring(F.col("b.text"), 1, 600)).alias("text"),
         F.when(F.col("kind") == "ask", "human").alias("who"), F.when(F.col("kind") == "tool", F.col("b.name")).alias("tool"), F.when(F.col("kind") == "tool", F.coalesce(target_of(F.col("b.input")), F.lit(""))).alias("target"),
-        F.when(F.col("kind") == "tool", F.col("b.id")).alias("call_id"),
+        F.when(F.col("kind") == "tool", F.col("b.id")).alias("call_id"), F.when(F.col("kind") != "tool", F.col("b.text")).alias("full"),
     )
-    return numbered(outcome_columns(ev.join(res, ["session", "call_id"], "left")))
+    return numbered(outcome_columns(ev.join(res, ["session", "call_id"], "left")), *more)
 
 
 def reasoning(claude: DataFrame) -> DataFrame:

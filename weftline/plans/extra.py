@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from weftline.functions.text import redact
 from weftline.operators import events as E
 from weftline.operators import measures as M
 from weftline.operators import pieces
@@ -83,14 +84,46 @@ def greedy_matching(spark: SparkSession, d: str) -> DataFrame:
     return n.where("err").join(good, ["session", "tool", "n"]).select("session", "tool", F.col("i").alias("failed_i"), "ok_i")
 
 
-def evidence_texts(spark: SparkSession, d: str, cap: int = 600) -> DataFrame:
-    """A numbered log of every piece, the middle left out where it is longer than ``cap``: 55 % head and 40 % tail stay."""
-    p = pieces.with_piece(_events(spark, d))
-    line = F.concat_ws(" ", F.concat(F.lit("["), F.col("i").cast("string"), F.lit("]")), "kind", F.coalesce("text", F.concat_ws(" ", "tool", "target", F.when(F.col("err"), "failed"))))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("l")))), lambda x: x["l"]), "\n")
-    t = p.groupBy("piece_id").agg(text.alias("t"))
+def evidence_texts(spark: SparkSession, d: str, cap: int = 14_000) -> DataFrame:
+    """A numbered log of every piece, with three events on either side (``~``), reasoning before the event it led to, errors,
+    output and a line on how it ends; the middle left out where it is longer than ``cap``: 55 % head and 40 % tail stay.
+
+    The limits of a line are the reference's; secrets are redacted in the whole texts, before any is cut.
+    """
+    claude = table(spark, d, "claude")
+    return evidence(E.chat_events(claude, "pos", "full", "r_text"), E.reasoning(claude), cap)
+
+
+def evidence(events: DataFrame, reasoning: DataFrame, cap: int) -> DataFrame:
+    """(piece_id, evidence) of ``events`` with pos, full and r_text, and of ``reasoning`` (session, row_id, pos, text)."""
+    flat = lambda c, n: F.substring(F.regexp_replace(c, r"\s+", " "), 1, n)
+    clean = redact(F.coalesce(F.when(F.col("kind") == "tool", F.col("r_text")).otherwise(F.col("full")), F.lit("")))
+    p = pieces.with_piece(events).withColumn("said", clean).withColumn("target", redact(F.coalesce("target", F.lit(""))))
+    failed = F.concat(F.lit(" => "), F.when(F.col("denied"), "DENIED").otherwise("FAILED"), F.lit(": "), flat("said", 220))
+    call = F.concat(F.lit("TOOL "), F.coalesce("tool", F.lit("")), F.lit(": "), F.col("target"), F.when(F.col("err"), failed).when(F.col("said") != "", F.concat(F.lit(" => "), flat("said", 160))).otherwise(""))
+    body = F.when(F.col("kind") == "tool", call).otherwise(F.concat(F.when(F.col("kind") == "ask", "PERSON: ").otherwise("AGENT: "), flat("said", 1500)))
+    ev = written(p.select("session", "i", "row_id", "pos", "piece_id", body.alias("body")))
+    ends = ev.groupBy("session", "piece_id").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+    ends = written(ends.withColumn("final", F.max("last").over(W.partitionBy("session"))))
+    near = F.concat(F.sequence(F.col("first") - 3, F.col("first") - 1), F.sequence(F.col("last") + 1, F.col("last") + 3))
+    around = ends.select("session", "piece_id", F.explode(near).alias("i")).join(ev.select("session", "i", "body"), ["session", "i"])
+    line = lambda mark: F.substring(F.concat(F.lit("["), F.col("i").cast("string"), F.lit("]" + mark), F.col("body")), 1, 1500)
+    # A thought goes before the event that follows it; of two at one event the order of delivery stands.
+    thought = reasoning.select("session", "row_id", "pos", F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("string").alias("piece_id"), "text")
+    mixed = ev.select("session", "row_id", "pos", "i", "piece_id", F.lit(None).cast("string").alias("text")).unionByName(thought)
+    after = W.partitionBy("session").orderBy("row_id", "pos").rowsBetween(1, W.unboundedFollowing)
+    led = mixed.withColumn("next", F.first(F.when(F.col("i").isNotNull(), F.struct("i", "piece_id")), ignorenulls=True).over(after)).where("text is not null and next is not null")
+    led = led.select("next.piece_id", F.col("next.i").alias("i"), F.lit(0).alias("kind"), "row_id", "pos", F.concat(F.lit("[r] REASONING: "), flat(redact(F.col("text")), 900)).alias("l"))
+    at = lambda df, mark: df.select("piece_id", "i", F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("row_id"), F.lit(0).alias("pos"), line(mark).alias("l"))
+    rows = at(ev, " ").unionByName(at(around, "~")).unionByName(led)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "kind", "row_id", "pos", "l"))), lambda x: x["l"]), "\n")
+    left = F.col("final") - F.col("last")
+    end = F.when(left <= 0, F.format_string("[end] The session ends at this piece's last event [%d].", "last")).otherwise(
+        F.format_string("[end] This piece's last event is [%d]. The session continued for %d more events (the first %d are shown with ~).", "last", left, F.least(F.lit(3).cast("bigint"), left)))
+    t = rows.groupBy("piece_id").agg(text.alias("t"), (F.count("*") + 1).alias("n")).join(ends, "piece_id").withColumn("t", F.concat_ws("\n", "t", end))
     head, tail = int(cap * 0.55), int(cap * 0.4)
-    return t.select("piece_id", F.when(F.length("t") > cap, F.concat(F.substring("t", 1, head), F.lit("\n…\n"), F.expr(f"right(t, {tail})"))).otherwise(F.col("t")).alias("evidence"))
+    short = F.concat(F.substring("t", 1, head), F.format_string("\n… [%d events total; middle omitted] …\n", "n"), F.expr(f"right(t, {tail})"))
+    return t.select("piece_id", F.when(F.length("t") > cap, short).otherwise(F.col("t")).alias("evidence"))
 
 
 def label_inheritance(spark: SparkSession, d: str) -> DataFrame:
