@@ -177,3 +177,16 @@ def test_evidence_is_whole(spark):
     assert got[:5] == ["[2]~AGENT: a2", "[3]~AGENT: a3", "[4]~AGENT: a4", "[5] PERSON: second task", "[6] TOOL Bash: ls => FAILED: boom broke"]
     assert got[5] == "[r] REASONING: so it is the disk" and got[6].endswith("the end of the message") and got[7] == "[8] TOOL Bash: ls => fine output" and got[8] == "[9]~PERSON: third task"
     assert got[9].startswith("[end] This piece's last event is [8]. The session continued for 1 more") and len(got) == 10
+
+
+def test_facts_and_acts_read_the_end(spark):
+    from weftline.operators import steps as S
+    from weftline.operators.events import numbered, outcome_columns
+
+    filler = "line of output. " * 60
+    rows = [(0, "tool", None, "npm test", False, filler + "42 passed"), (1, "tool", None, "npm test", False, filler + "3 failed, 42 passed"), (2, "tool", None, "gh pr create", False, filler + "see pull/77"), (3, "say", filler + "Let me know.", "", None, None)]
+    df = spark.createDataFrame(rows, "row_id long, kind string, full string, target string, r_err boolean, r_text string")
+    df = df.selectExpr("*", "'x' client", "'s' session", "0 pos", "null ts", "left(full, 600) text", "null who", "if(kind = 'tool', 'Bash', null) tool", "null call_id", "kind = 'tool' answered")
+    ev = numbered(outcome_columns(df))
+    got = [(r.result, r.pr) for r in S.with_facts(ev).where("kind = 'tool'").orderBy("i").collect()]
+    assert got == [("pass", None), ("fail", None), ("ok", 77)] and [r.act for r in S.with_acts(ev).collect()] == ["handback"]

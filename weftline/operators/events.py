@@ -1,7 +1,8 @@
 """Normalised events: one ordered stream of ask, say and tool events per session, whatever client wrote it.
 
 Schema: client, session, i (position, from 0), kind (ask, say, tool), ts, row_id, text, who, tool, target, call_id,
-pending, err, denied, rejected, err_text, out. The position is the order of delivery, then of blocks in the record.
+pending, err, denied, rejected, err_text, out, verdict, named_pr, act. verdict (fail or pass, by a call's output), named_pr
+and act are read off the whole result or message, before it is cut. The position is the order of delivery, then of blocks in the record.
 A doubled record counts once. A call and its result are joined on the call's id; a call without a result is pending.
 """
 
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from weftline.functions.rules import first_rule
 from weftline.functions.text import one_line
+from weftline.operators import steps
 
 # Keys of a call's input that name its target, in order of preference.
 TARGET_KEYS = ("file_path", "command", "pattern", "url", "path", "issue", "todo", "query")
@@ -19,7 +22,7 @@ DENIED = r"(?i)permission to use [a-z0-9_]+ has been denied"
 REJECTED = r"(?i)tool use was rejected"
 CONTINUE = r"(?i)^ *(continue|go on|keep going|proceed|yes|ok|okay|ok ship it|do it|go ahead|try again|resume)[.!]? *$"
 
-COLUMNS = ("client", "session", "i", "kind", "ts", "row_id", "text", "who", "tool", "target", "call_id", "pending", "err", "denied", "rejected", "err_text", "out")
+COLUMNS = ("client", "session", "i", "kind", "ts", "row_id", "text", "who", "tool", "target", "call_id", "pending", "err", "denied", "rejected", "err_text", "out", "verdict", "named_pr", "act")
 
 
 def target_of(json: Column) -> Column:
@@ -35,14 +38,19 @@ def distinct_records(claude: DataFrame) -> DataFrame:
 
 
 def outcome_columns(df: DataFrame) -> DataFrame:
-    """Adds pending, err, denied, rejected, err_text and out to calls with result columns ``r_err`` and ``r_text``."""
+    """Adds pending, err, denied, rejected, err_text, out, verdict and named_pr to calls with result columns ``r_err`` and ``r_text``, and act to messages with ``full``."""
     err = F.coalesce("r_err", F.lit(False))
     rejected = err & F.coalesce(F.col("r_text").rlike(REJECTED), F.lit(False))
     denied = err & F.coalesce(F.col("r_text").rlike(DENIED), F.lit(False))
     tool = F.col("kind") == "tool"
+    good = F.when(tool & ~err, F.col("r_text"))
+    verdict = F.when(good.rlike(steps.FAILED), "fail").when(good.rlike(steps.PASSED), "pass")
+    pr = F.regexp_extract(F.concat_ws(" ", "target", good), steps.PR, 1)
+    act = first_rule([(name, {"full": p["text"]}) for name, p in steps.ACTS], "other")
     return df.select(
         "*", F.when(tool, ~F.coalesce("answered", F.lit(False))).alias("pending"), F.when(tool, err).alias("err"), F.when(tool, denied | rejected).alias("denied"),
         F.when(tool, rejected).alias("rejected"), F.when(tool & err, F.substring("r_text", 1, 400)).alias("err_text"), F.when(tool & ~err, F.substring("r_text", 1, 300)).alias("out"),
+        verdict.alias("verdict"), F.when(tool, F.nullif(pr, F.lit(""))).alias("named_pr"), F.when(F.col("kind") == "ask", "ask").when(F.col("kind") == "say", act).alias("act"),
     )
 
 
@@ -96,7 +104,7 @@ def rollout_events(codex: DataFrame) -> DataFrame:
         F.lit("codex").alias("client"), "session", "kind", F.lit(None).cast("timestamp").alias("ts"), "row_id", "pos", F.when(F.col("kind") != "tool", F.substring(F.coalesce(get("content"), words), 1, 600)).alias("text"),
         F.when(F.col("kind") == "ask", "human").alias("who"), F.when(F.col("kind") == "tool", F.coalesce(F.when(F.col("is_item"), F.coalesce(get("tool"), F.when(get("type") == "CommandExecution", "Bash").otherwise(get("type")))), F.col("payload.name"))).alias("tool"),
         F.when(F.col("kind") == "tool", F.substring(F.coalesce(F.array_join(F.try_variant_get(F.col("item"), "$.command", "array<string>"), " "), F.get_json_object("payload.arguments", "$.command"), F.col("payload.arguments"), F.col("payload.input"), F.lit("")), 1, 240)).alias("target"),
-        F.col("payload.call_id").alias("call_id"), "is_item", get("exit_code", "int").alias("exit_code"), get("aggregated_output").alias("i_text"), get("status").alias("i_status"),
+        F.col("payload.call_id").alias("call_id"), "is_item", F.when(F.col("kind") != "tool", F.coalesce(get("content"), words)).alias("full"), get("exit_code", "int").alias("exit_code"), get("aggregated_output").alias("i_text"), get("status").alias("i_status"),
     )
     ev = ev.join(res, ["session", "call_id"], "left")
     failed = F.when(F.col("is_item"), F.coalesce(F.col("exit_code") != 0, F.col("i_status").isin("failed", "declined"))).otherwise(F.coalesce(F.col("x_text").rlike(r"(?i)exit code:? [1-9]"), F.lit(False)))
@@ -118,7 +126,7 @@ def store_events(messages: DataFrame, parts: DataFrame) -> DataFrame:
     ev = both.withColumn("kind", kind).where("kind is not null").select(
         F.lit("message").alias("client"), "session", "kind", F.timestamp_millis("time_created").alias("ts"), F.col("time_created").alias("row_id"), F.col("part").alias("pos"), F.when(F.col("kind") != "tool", F.substring("text", 1, 600)).alias("text"),
         F.when(F.col("kind") == "ask", "human").alias("who"), "tool", F.when(F.col("kind") == "tool", F.coalesce(F.substring("target", 1, 240), F.lit(""))).alias("target"), F.when(F.col("kind") == "tool", F.col("part").cast("string")).alias("call_id"),
-        (F.col("status") == "error").alias("r_err"), "r_text", F.col("status").isin("completed", "error").alias("answered"),
+        F.when(F.col("kind") != "tool", F.col("text")).alias("full"), (F.col("status") == "error").alias("r_err"), "r_text", F.col("status").isin("completed", "error").alias("answered"),
     )
     return numbered(outcome_columns(ev))
 

@@ -48,6 +48,7 @@ ACTIONS: list[Rule] = [
 ]
 PASSED = r"(?i)[0-9]+ (passed|passing)|all ([0-9]+ )?tests? passed|build (succeeded|completed)|compiled successfully|found 0 errors|(^|[ \n])ok *$"
 FAILED = r"[1-9][0-9]* (failed|failing|errors?)|(^|[ \n])FAIL([ \n]|$)|error TS[0-9]+|[Bb]uild failed|Command failed"
+PR = r"(?:pull/|PR #|#)([0-9]{1,6})"
 CODE = r"\.(ts|tsx|js|jsx|mjs|py|go|rs|java|rb|sql|sh|c|cpp|h)($|[^a-z])"
 
 # What a message does, first match wins.
@@ -105,17 +106,15 @@ def with_facts(events: DataFrame) -> DataFrame:
     """``events`` with action, result (pending, denied, fail, pass, ok), code (an edit of code) and pr (a number named) of calls."""
     tool = F.col("kind") == "tool"
     action = F.when(tool, first_rule(ACTIONS, "run"))
-    said = F.coalesce("out", F.lit(""))
-    result = F.when(F.col("pending"), "pending").when(F.col("denied"), "denied").when(F.col("err"), "fail").when(said.rlike(FAILED), "fail").when(said.rlike(PASSED), "pass").otherwise("ok")
+    result = F.when(F.col("pending"), "pending").when(F.col("denied"), "denied").when(F.col("err"), "fail").otherwise(F.coalesce("verdict", F.lit("ok")))
     df = events.withColumn("action", action).withColumn("result", F.when(tool, result))
     df = df.withColumn("code", F.coalesce((F.col("action") == "edit") & F.col("target").rlike(CODE), F.lit(False)))
-    pr = F.regexp_extract(F.concat_ws(" ", "target", "out"), r"(?:pull/|PR #|#)([0-9]{1,6})", 1)
-    return df.withColumn("pr", F.when(tool, F.nullif(pr, F.lit("")).try_cast("bigint")))
+    return df.withColumn("pr", F.when(tool, F.col("named_pr").try_cast("bigint")))
 
 
 def with_acts(events: DataFrame) -> DataFrame:
-    """Messages with ``act``: 'ask' for the person, otherwise the first family of phrases that matches, or 'other'."""
-    return events.where("kind in ('ask', 'say')").withColumn("act", F.when(F.col("kind") == "ask", "ask").otherwise(first_rule(ACTS, "other")))
+    """Messages, with the ``act`` of the event scan: 'ask' for the person, otherwise the first family of phrases that matches, or 'other'."""
+    return events.where("kind in ('ask', 'say')")
 
 
 def judgments(events: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def with_flags(events: DataFrame) -> DataFrame:
     tool = F.col("kind") == "tool"
     rejected_before = F.last(F.when(F.col("kind") != "say", F.coalesce("rejected", F.lit(False))), ignorenulls=True).over(w)
     slip = F.coalesce(F.col("tool").rlike(S.SLIP_TOOL), F.lit(False)) | F.coalesce(F.col("err_text").rlike(S.SLIP_TEXT), F.lit(False))
-    claim = F.regexp_extract(F.concat_ws(" ", "target", "out"), r"(?:pull/|PR #|#)([0-9]{1,6})", 1)
+    claim = F.coalesce("named_pr", F.lit(""))
     df = events.withColumn("lane", F.when(tool, S.lane())).withColumn("move", F.when(tool, S.move()))
     return df.select(
         "session", "i", "kind", "tool", "target", "lane", "move", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("err", "denied", "rejected")],
@@ -227,7 +227,7 @@ def threads(events: DataFrame) -> DataFrame:
 def goal_steps(events: DataFrame, threads_: DataFrame) -> DataFrame:
     """Steps with the goal (root thread) that owns them, their facts and acts, and their session's last position."""
     own = threads_.select("session", "root", F.explode("spans").alias("s")).select("session", "root", F.explode(F.sequence("s.a", "s.b")).alias("i"))
-    ev = S.with_facts(events).withColumn("act", F.when(F.col("kind") == "say", first_rule(S.ACTS, "other"))).withColumn("final_i", F.max("i").over(W.partitionBy("session")))
+    ev = S.with_facts(events).withColumn("act", F.when(F.col("kind") == "say", F.col("act"))).withColumn("final_i", F.max("i").over(W.partitionBy("session")))
     return ev.join(own, ["session", "i"])
 
 
