@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 _OWN: dict[int, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
@@ -35,11 +36,16 @@ def shared_folder(spark: SparkSession) -> str:
 def _drop_made() -> None:
     """Deletes what this process left in the shared folder; what can't be deleted any more stays."""
     for spark, path in _MADE:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  # the session may be gone
-            return
+        drop_path(spark, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder; one that can't be deleted (any more) stays and stops no other."""
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  # the session may be gone
+        pass
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -70,6 +76,26 @@ def salted_left_join(large: DataFrame, small: DataFrame, on: list[str], salts: i
     return large.withColumn("_salt", salt).join(right, [*on, "_salt"], "left").drop("_salt")
 
 
+def running(df: DataFrame, key: str, at: str, order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, before: bool = False, width: int = 50_000) -> DataFrame:
+    """Running sums and running last non-null values per ``key``, in the order of ``order``, as new columns of ``df``.
+
+    A key of any size is cut into stretches of ``width`` values of the whole number ``at``, which has to rise with the
+    order; each stretch is one window, and what the stretches before it add up to is joined in from one small row per
+    stretch. With ``before`` the row itself does not count.
+    """
+    sums, lasts = sums or {}, lasts or {}
+    cut = df.withColumn("_cut", F.floor(F.col(at) / width))
+    place = F.struct(*order)
+    per = cut.groupBy(key, "_cut").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()], *[F.max_by(c, F.when(c.isNotNull(), place)).alias(f"_l_{n}") for n, c in lasts.items()])
+    earlier = W.partitionBy(key).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
+    carry = per.select(key, "_cut", *[F.sum(f"_s_{n}").over(earlier).alias(f"_s_{n}") for n in sums], *[F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_l_{n}") for n in lasts])
+    w = W.partitionBy(key, "_cut").orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
+    own = cut.select("*", *[F.sum(c).over(w).alias(f"_o_{n}") for n, c in sums.items()], *[F.last(c, ignorenulls=True).over(w).alias(f"_o_{n}") for n, c in lasts.items()])
+    joined = own.join(carry, [key, "_cut"], "left")
+    return joined.select(
+        *[F.col(c) for c in df.columns], *[(F.coalesce(F.col(f"_o_{n}"), F.lit(0)) + F.coalesce(F.col(f"_s_{n}"), F.lit(0))).alias(n) for n in sums], *[F.coalesce(F.col(f"_o_{n}"), F.col(f"_l_{n}")).alias(n) for n in lasts])
+
+
 def missing(c: Column) -> Column:
     """True where a text is null or blank."""
     return c.isNull() | (F.trim(c) == "")

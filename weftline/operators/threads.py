@@ -16,16 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from weftline.functions import phrases as P
 from weftline.functions.rules import first_rule
 from weftline.functions.text import first_sentence
 from weftline.operators import steps as S
 from weftline.operators.events import CONTINUE
 
-# Phrase families that open, leave or end a thread.
-FOUND = r"(?i)(found|discovered|noticed|spotted) [^.!?]{0,60}(bug|issue|problem|leak|regression|mismatch|broken)|root cause|turns out [^.!?]{0,80}(broken|wrong|missing|never|not)|the cause lies elsewhere"
-PLAN = r"(?i)^(now|next|then|first|finally),? (let me|i will|i'll|i am going to)|^let me now|^here is the plan"
-LEAVE = r"(?i)(^|[^a-z])(instead|fall(ing)? back|switch(ing)? to|different approach|(didn't|doesn't|did not) (work|help)|revert(ing|ed)?|a smaller change|work around)([^a-z]|$)"
-GIVE_UP = r"(?i)(^|[^a-z])(blocked|unable to|can(no|')t (access|read|run|write)|giving up|no way to|access that i do not have)([^a-z]|$)"
+FOUND, PLAN, LEAVE, GIVE_UP = P.discovery(), P.opening(P.PLANS), P.words(P.LEAVES), P.words(P.GIVES_UP)
 
 FLAGS = ("continues", "corrects", "after_rejection", "finds", "plans", "leaves", "gives_up", "slip")
 THREAD = (

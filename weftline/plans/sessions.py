@@ -250,9 +250,11 @@ NAMES = (
 )
 QUERIES = {f.__name__: f for f in NAMES}
 
-_LANE = first_rule_sql(S.LANES, "run")
+from weftline.functions.commands import action_sql, lane_sql  # noqa: E402
+
+_ACTION, _LANE = action_sql(), lane_sql()
 _CODE = "CASE lane " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.LANE_CODE.items()) + " END"
-_MV = f"mv AS (SELECT *, CASE WHEN denied THEN 'D' WHEN err THEN 'X' ELSE {_CODE} END AS move FROM (SELECT *, {_LANE} AS lane FROM ev WHERE kind = 'tool'))"
+_MV = f"mv AS (SELECT *, CASE WHEN denied THEN 'D' WHEN err THEN 'X' ELSE {_CODE} END AS move FROM (SELECT *, {_LANE} AS lane FROM (SELECT *, {_ACTION} AS action FROM ev WHERE kind = 'tool')))"
 _WITH = "WITH" + E.EVENTS_SQL
 _OUT = _WITH + f", {_MV}, outline AS (SELECT session, string_agg(move, '' ORDER BY i) AS moves, count(*) AS n_calls FROM mv GROUP BY session)"
 _OPENS = f"kind = 'ask' AND NOT regexp_matches(text, '{E.CONTINUE}')"
@@ -281,12 +283,12 @@ SQL = {
     "retry_backtracks": _WITH + f", {_MV} SELECT session, i, b.i AS failed_at, lane FROM (SELECT *, last_value(CASE WHEN err THEN struct_pack(i := i, lane := lane, tool := tool, target := target) END IGNORE NULLS) OVER (PARTITION BY session ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM mv) WHERE NOT err AND b.lane = lane AND b.tool = tool AND b.target <> target AND i - b.i < 5",
     "after_rejection": _WITH + "SELECT session, i, coalesce(r, false) AS reason_of_rejection FROM (SELECT *, last_value(CASE WHEN kind <> 'say' THEN coalesce(rejected, false) END IGNORE NULLS) OVER (PARTITION BY session ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM ev) WHERE kind = 'ask'",
     "first_denials": _WITH + "SELECT session, tool, min(i) AS i FROM ev WHERE denied GROUP BY session, tool",
-    "step_facts": _WITH + f"SELECT session, i, action, result, action = 'edit' AND regexp_matches(target, '{S.CODE}') AS code, TRY_CAST(nullif(regexp_extract(concat_ws(' ', target, out), '(?:pull/|PR #|#)([0-9]{{1,6}})', 1), '') AS BIGINT) AS pr FROM (SELECT *, {first_rule_sql(S.ACTIONS, 'run')} AS action, {_RESULT} AS result FROM ev WHERE kind = 'tool')",
+    "step_facts": _WITH + f"SELECT session, i, action, result, action = 'edit' AND regexp_matches(target, '{S.CODE}') AS code, TRY_CAST(nullif(regexp_extract(concat_ws(' ', target, out), '(?:pull/|PR #|#)([0-9]{{1,6}})', 1), '') AS BIGINT) AS pr FROM (SELECT *, {_ACTION} AS action, {_RESULT} AS result FROM ev WHERE kind = 'tool')",
     "message_acts": _WITH + f"SELECT session, i, CASE WHEN kind = 'ask' THEN 'ask' ELSE {first_rule_sql(S.ACTS, 'other')} END AS act FROM ev WHERE kind IN ('ask', 'say')",
     "signals": _WITH + f""", s1 AS (SELECT *, coalesce(max(CAST(kind = 'tool' AS INT)) OVER (PARTITION BY session ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS acted, CASE WHEN denied AND NOT rejected THEN split_part(err_text, chr(10), 1) END AS denial FROM ev),
         s2 AS (SELECT *, row_number() OVER (PARTITION BY session, tool, denial ORDER BY i) AS nth, kind = 'ask' AND length(trim(text)) >= 2 AND NOT starts_with(text, '[') AS usable, {_JUDGED} AS judged FROM s1),
         s3 AS (SELECT *, CASE WHEN rejected THEN 'rejection' WHEN denial IS NOT NULL AND nth = 1 THEN 'denial' WHEN usable AND judged = 'explicit_rule' THEN 'explicit_rule' WHEN usable AND acted AND length(text) <= 600 AND judged = 'correction' THEN 'correction' END AS signal FROM s2),
-        s4 AS (SELECT session, i, signal, left(CASE signal WHEN 'rejection' THEN regexp_extract(err_text, '(?s)[Uu]ser said:\\s*(.*)$', 1) WHEN 'denial' THEN denial ELSE text END, 2000) AS text FROM s3 WHERE signal IS NOT NULL)
+        s4 AS (SELECT session, i, signal, (CASE signal WHEN 'rejection' THEN regexp_extract(err_text, '(?s)[Uu]ser said:\\s*(.*)$', 1) WHEN 'denial' THEN denial ELSE text END) AS text FROM s3 WHERE signal IS NOT NULL)
         SELECT *, left(sha256(concat_ws('|', session, signal, CAST(i AS VARCHAR), text)), 16) AS signal_id FROM s4""",
     "wall_hits": _WITH + f", {_HITS} SELECT session, i, sig, wall IS NOT NULL AS named FROM hits WHERE sig IS NOT NULL",
     "wall_rollup": _WITH + f", {_HITS}, per AS (SELECT sig, session, count(*) AS n, min(row_id) AS first, bool_or(wall IS NOT NULL) AS named FROM hits WHERE sig IS NOT NULL GROUP BY sig, session), r AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY first) AS nth FROM per) SELECT sig, bool_or(named) AS named, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS calls, CAST(sum(CASE WHEN nth > 1 THEN n ELSE 0 END) AS BIGINT) AS rediscovered, count(*) >= 3 AS guarded FROM r GROUP BY sig",
@@ -297,7 +299,7 @@ SQL = {
     "call_results": _WITH + "SELECT lower(tool) AS tool, count(*) AS calls, count(*) FILTER (pending) AS pending, count(*) FILTER (err) AS errs, count(*) FILTER (denied) AS denied FROM ev WHERE kind = 'tool' GROUP BY 1",
     "usage_last": f"WITH {_USE} SELECT session, message_id, first_row, CAST(u.input_tokens AS BIGINT) AS input, CAST(u.cache_read_input_tokens AS BIGINT) AS cached, CAST(u.output_tokens AS BIGINT) AS output FROM use",
     "usage_in_spans": _WITH + f", {_USE}, b AS (SELECT session, row_id AS first_row, 1 AS open, 0 AS input, 0 AS output FROM ev WHERE {_OPENS} UNION ALL SELECT session, first_row, 0, coalesce(u.input_tokens, 0), coalesce(u.output_tokens, 0) FROM use), s AS (SELECT *, CAST(sum(open) OVER (PARTITION BY session ORDER BY first_row, open DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS span FROM b) SELECT session, span, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output FROM s GROUP BY session, span",
-    "reasoning_asof": _WITH + ", r AS (SELECT session, row_id, length(left(b.thinking, 6000)) AS size FROM block WHERE b.type = 'thinking' AND b.thinking IS NOT NULL) SELECT r.session, r.row_id, min(e.i) AS before_i, any_value(size) AS size FROM r LEFT JOIN ev e ON e.session = r.session AND e.row_id >= r.row_id GROUP BY r.session, r.row_id",
+    "reasoning_asof": _WITH + ", r AS (SELECT session, row_id, length(b.thinking) AS size FROM block WHERE b.type = 'thinking' AND b.thinking IS NOT NULL) SELECT r.session, r.row_id, min(e.i) AS before_i, any_value(size) AS size FROM r LEFT JOIN ev e ON e.session = r.session AND e.row_id >= r.row_id GROUP BY r.session, r.row_id",
     "error_signatures": _WITH + f", s AS (SELECT lower(tool) AS tool, {_SIG} AS line FROM ev WHERE err) SELECT tool || ': ' || line AS signature, count(*) AS n FROM s WHERE length(line) > 6 GROUP BY 1",
     "ask_titles": _WITH + r""", a AS (SELECT session, i, trim(regexp_replace(regexp_replace(regexp_replace(text, '</?[A-Za-z][^>]*>', ' ', 'g'), '[*_`#>]+', '', 'g'), '\s+', ' ', 'g')) AS flat FROM ev WHERE kind = 'ask'), s AS (SELECT *, coalesce(nullif(regexp_extract(flat, '^(.*?[.!?])(?: |$)', 1), ''), flat) AS cut FROM a) SELECT session, i, CASE WHEN length(cut) > 72 THEN left(cut, 71) || '…' ELSE cut END AS title FROM s""",
     "note_clips": _WITH + "SELECT session, array_to_string(CASE WHEN len(p) > 4 THEN list_concat(p[1:2], p[-2:]) ELSE p END, ',') AS kept, len(p) AS n FROM (SELECT session, list(i ORDER BY i) AS p FROM ev WHERE kind = 'say' GROUP BY session)",

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from weftline.operators import events as E
 from weftline.operators import pieces
 from weftline.operators import steps as S
-from weftline.plans.sessions import _OUT, _WITH, session_outline, wall_rollup
+from weftline.plans.sessions import _ACTION, _OUT, _WITH, session_outline, wall_rollup
 from weftline.plans.work import _LINK, _OBJ, _PIECE, _Q
 from weftline.sources.tables import table
 
@@ -84,7 +84,6 @@ def open_questions(spark: SparkSession, d: str) -> DataFrame:
 NAMES = (call_subjects, private_outlines, artifact_roles, piece_neighbours, headline, old_files, open_questions)
 QUERIES = {f.__name__: f for f in NAMES}
 
-from weftline.functions.rules import first_rule_sql  # noqa: E402
 from weftline.plans.sessions import SQL as _SESSION_SQL  # noqa: E402
 from weftline.plans.work import SQL as _WORK_SQL  # noqa: E402
 
@@ -94,7 +93,7 @@ SQL = {
         s AS (SELECT session, i, CASE WHEN regexp_matches(target, {_Q(pieces.FILE)}) THEN coalesce(sg[-2], sg[-1]) WHEN regexp_matches(w[1], '{PAIRED}') AND w[2] IS NOT NULL AND NOT starts_with(w[2], '-') THEN w[1] || ' ' || w[2] ELSE left(w[1], 16) END AS subject FROM c),
         n AS (SELECT session, subject, count(*) AS n, min(i) AS first_i FROM s GROUP BY ALL) SELECT session, subject, n, k FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC, first_i) AS k FROM n) WHERE k <= 3""",
     "private_outlines": _OUT + "SELECT left(sha256(session), 16) AS id, CASE WHEN length(moves) > 400 THEN left(moves, 200) || right(moves, 200) ELSE moves END AS moves, n_calls FROM outline",
-    "artifact_roles": _PIECE + f", a AS (SELECT *, {first_rule_sql(S.ACTIONS, 'run')} AS action FROM pc WHERE kind = 'tool'), sh AS (SELECT piece_id, max(i) AS ship_i FROM a WHERE action IN ('commit', 'ship', 'deploy') AND NOT err GROUP BY 1), ed AS (SELECT piece_id, target, max(i) AS edit_i FROM a WHERE action = 'edit' AND NOT err AND target <> '' GROUP BY ALL) SELECT piece_id, target AS file, CASE WHEN ship_i > edit_i THEN 'output' ELSE 'intermediate' END AS role FROM ed LEFT JOIN sh USING (piece_id)",
+    "artifact_roles": _PIECE + f", a AS (SELECT *, {_ACTION} AS action FROM pc WHERE kind = 'tool'), sh AS (SELECT piece_id, max(i) AS ship_i FROM a WHERE action IN ('commit', 'ship', 'deploy') AND NOT err GROUP BY 1), ed AS (SELECT piece_id, target, max(i) AS edit_i FROM a WHERE action = 'edit' AND NOT err AND target <> '' GROUP BY ALL) SELECT piece_id, target AS file, CASE WHEN ship_i > edit_i THEN 'output' ELSE 'intermediate' END AS role FROM ed LEFT JOIN sh USING (piece_id)",
     "piece_neighbours": _LINK + "SELECT a AS piece_id, b AS other, relationship, confidence FROM lk UNION ALL SELECT b, a, relationship, confidence FROM lk",
     "headline": f"SELECT sig, sessions, calls FROM ({_SESSION_SQL['wall_rollup']}) WHERE sessions >= 3 ORDER BY sessions DESC, calls DESC, sig LIMIT 1",
     "old_files": "WITH f AS (SELECT DISTINCT feed, file_name, written_on FROM raw_records), n AS (SELECT feed, max(written_on) AS newest FROM f GROUP BY feed) SELECT feed, count(*) AS files FROM f JOIN n USING (feed) WHERE date_diff('day', written_on, newest) > 23 GROUP BY feed",

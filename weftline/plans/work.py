@@ -30,7 +30,7 @@ def thread_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _goals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    ev = _events(spark, d)
+    ev = written(_events(spark, d))  # the machine and the steps read the same events
     th = written(T.threads(ev))
     return T.goal_steps(ev, th), th
 
