@@ -109,14 +109,15 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_reliability
 _CODE = {f: "CASE " + " ".join(f"WHEN w_{f} = '{w}' THEN {i}" for i, w in enumerate(words)) + "".join(f" WHEN w_{f} = '{a}' THEN {words.index(b)}" for a, b in consensus.SYNONYMS[f].items()) + " END" for f, words in consensus.CODEBOOK.items()}
 _WORD = ", ".join(f"regexp_replace(lower(trim({f})), '[\\s-]+', '_', 'g') AS w_{f}" for f in consensus.CODEBOOK)
 _VOTE = ", ".join(f"arg_min({c}, struct_pack(r := coalesce(is_repeat, false), t := coalesce(labeled_at, TIMESTAMPTZ '9999-12-31'), l := label_id)) FILTER ({c} IS NOT NULL) AS {f}" for f, c in _CODE.items())
+_MISSING = "|".join(splits.MISSING)
 SQL: dict[str, str] = {
     "p2_agreement": f"""WITH g AS (SELECT *, {_WORD} FROM gold_labels WHERE item_key IS NOT NULL AND labeler IS NOT NULL), one AS (SELECT item_key, labeler, {_VOTE} FROM g GROUP BY item_key, labeler),
         v AS ({" UNION ALL ".join(f"SELECT item_key AS item, '{f}' AS field, {f} AS v FROM one WHERE {f} IS NOT NULL" for f in consensus.CODEBOOK)}),
         cell AS (SELECT item, field, v, count(*) AS n FROM v GROUP BY ALL), it AS (SELECT item, field, sum(n) AS m, sum(n * (n - 1)) AS pairs FROM cell GROUP BY ALL HAVING sum(n) > 1),
         seen AS (SELECT field, count(*) AS n_items, sum(m) AS votes, sum(pairs / (m - 1)) AS agree FROM it GROUP BY field), mg AS (SELECT field, sum(c * (c - 1)) AS cc FROM (SELECT field, v, sum(n) AS c FROM cell SEMI JOIN it USING (item, field) GROUP BY field, v) GROUP BY field)
         SELECT field AS label_field, n_items, agree / votes AS observed, cc / (votes * (votes - 1)) AS expected, (agree / votes - cc / (votes * (votes - 1))) / (1 - cc / (votes * (votes - 1))) AS alpha FROM seen JOIN mg USING (field)""",
-    "p3_found": """WITH RECURSIVE h AS (SELECT uuid, parentUuid AS parent, replace(regexp_extract(lower(sessionId), '([0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12})', 1), '-', '') AS h, trim(message.id) AS m FROM claude_judgment),
-        r AS MATERIALIZED (SELECT uuid, parent, CASE WHEN length(regexp_replace(m, '[^1-9]', '', 'g')) >= 2 AND length(m) >= 8 THEN m END AS m, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS s FROM h WHERE length(h) = 32),
+    "p3_found": f"""WITH RECURSIVE h AS (SELECT uuid, parentUuid AS parent, replace(regexp_extract(lower(sessionId), '([0-9a-f]{{8}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{12}})', 1), '-', '') AS h, trim(message.id) AS m, regexp_replace(regexp_replace(lower(trim(message.id)), '[\\s\\p{{P}}\\p{{S}}]', '', 'g'), '^(msg(01)?|message|id)', '') AS bare FROM claude_judgment),
+        r AS MATERIALIZED (SELECT uuid, parent, CASE WHEN NOT (bare = '' OR regexp_matches(bare, '^({_MISSING})$') OR (length(bare) > 0 AND replace(bare, bare[1], '') = '')) THEN m END AS m, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS s FROM h WHERE length(h) = 32),
         e AS MATERIALIZED (SELECT DISTINCT a.s AS a, b.s AS b FROM r a JOIN r b ON a.m = b.m AND a.s <> b.s UNION SELECT DISTINCT a.s, b.s FROM r a JOIN r b ON (a.parent = b.uuid OR b.parent = a.uuid) AND a.s <> b.s),
         reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b) SELECT DISTINCT a AS session_a, b AS session_b FROM reach WHERE a < b""",
 }
