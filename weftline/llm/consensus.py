@@ -1,23 +1,19 @@
-"""Consensus from several labelers (problem 2): spectral reliability, power iteration by sparse joins.
-
-The agreement of two labelers, centred by what chance gives and divided by how many items they share, forms a matrix
-whose leading eigenvector weighs the labelers. The matrix is never built: one step of the power iteration sums the
-weights of the votes per (item, field, value) and of all votes per (item, field), joins both back to the votes and
-takes per labeler
-
-    (sum of agreeing weight - chance share of the weight present) / (weight present)
-
-over its items, its own weight taken out. The weighted votes give a first consensus. As a labeler can err the same way
-over and over, the consensus then re-reads the votes by what each labeler's word has meant so far (its confusion with
-the weighted consensus, smoothed), a few rounds of it; the spectral weights are what it starts from.
+"""Consensus from several labelers (problem 2): spectral reliability weighs votes.
+
+Two labelers who share items form a cell of the agreement matrix: their agreement on the shared items, less what chance
+gives by what each of them says on those items, divided by the number of shared items (with ``SHRINK`` pseudo items
+without agreement, so that a pair that shares few says little). Cells exist only for pairs that share an item; the
+matrix is a sparse table. Its leading eigenvector comes from power iteration by joins of that table with the vector,
+until it moves by less than ``SETTLED``. For labelers who err independently the matrix is close to r r', so the
+eigenvector, scaled to fit the cells best, is each labeler's reliability r: 0 for one who guesses, 1 for one who is
+always right. A vote counts as the log odds that r gives it, and the word with most weight is the consensus.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weftline.operators.stage import written
 
@@ -33,6 +29,8 @@ SYNONYMS = {
     "boundary": {},
 }
 K = max(map(len, CODEBOOK.values()))
+#: Pseudo items without agreement of each pair, and how little the eigenvector has to move to be settled.
+SHRINK, SETTLED = 2.0, 1e-5
 
 
 def code_of(field: str, c: Column) -> Column:
@@ -57,68 +55,84 @@ def votes_of(labels: DataFrame) -> DataFrame:
     return long.select("item", "labeler", "x.field", "x.v").where("v is not null")
 
 
-def spectral_weights(votes: DataFrame, rounds: int = 8) -> DataFrame:
-    """(labeler, field, weight, n_votes), weight in 0..1 with the largest of a field at 1.
+def contingency(votes: DataFrame) -> DataFrame:
+    """(field, x, y, vx, vy, n): how often labeler x said vx where y said vy, x before y.
 
-    ``rounds`` steps of the power iteration; the gap between the first and the second eigenvalue of an agreement
-    matrix is wide, eight steps settle the weights to about 1e-3. A labeler who shares no item has weight 0.5.
+    The pairs of one item are pairs of its labelers, each of whom has one vote; they are counted where they arise, so
+    what is shuffled is one row per task and cell.
     """
-    share = votes.groupBy("field", "v").agg(F.count("*").alias("n"))
-    total = votes.groupBy("field").agg(F.count("*").alias("all"))
-    chance = written(share.join(total, "field").select("field", "v", (F.col("n") / F.col("all")).alias("q")))
-    weights = written(votes.groupBy("labeler", "field").agg(F.count("*").alias("n_votes")).withColumn("weight", F.lit(1.0)))
-    for _ in range(rounds):
-        w = votes.join(weights.select("labeler", "field", "weight"), ["labeler", "field"])
-        same = w.groupBy("item", "field", "v").agg(F.sum("weight").alias("same"))
-        there = same.groupBy("item", "field").agg(F.sum("same").alias("there"))
-        seen = w.join(same, ["item", "field", "v"]).join(there, ["item", "field"]).join(chance, ["field", "v"])
-        other = F.col("there") - F.col("weight")
-        step = seen.groupBy("labeler", "field").agg(
-            F.sum(F.col("same") - F.col("weight") - F.col("q") * other).alias("excess"), F.sum(other * (1 - F.col("q"))).alias("room"), F.count("*").alias("n_votes"))
-        raw = step.withColumn("raw", F.when(F.col("room") > 1e-9, F.greatest(F.lit(0.0), F.col("excess") / F.col("room"))))
-        top = raw.groupBy("field").agg(F.max("raw").alias("top"))
-        weights = written(raw.join(top, "field").select("labeler", "field", "n_votes", F.coalesce(F.col("raw") / F.nullif(F.col("top"), F.lit(0.0)), F.lit(0.5)).alias("weight")))
-    return weights
-
-
-def _classes() -> list[str]:
-    return [f"p{c}" for c in range(K)]
-
-
-def _normal(scores: list[Column], field: Column) -> list[Column]:
-    """Probabilities of log scores over the classes of a field."""
-    size = F.try_element_at(F.create_map(*[F.lit(x) for f, w in CODEBOOK.items() for x in (f, len(w))]), field)
-    inside = [F.when(F.lit(c) < size, s) for c, s in enumerate(scores)]
-    most = F.greatest(*inside)
-    e = [F.coalesce(F.exp(s - most), F.lit(0.0)) for s in inside]
-    total = reduce(lambda a, b: a + b, e)
-    return [(x / total).alias(f"p{c}") for c, x in enumerate(e)]
-
-
-def posteriors(votes: DataFrame, weights: DataFrame, rounds: int = 6, smooth: float = 1.0) -> DataFrame:
-    """(item, field, p0..): probability of each codebook word, started from the spectrally weighted votes."""
-    first = votes.join(weights.select("labeler", "field", "weight"), ["labeler", "field"]).groupBy("item", "field").agg(
-        *[F.sum(F.when(F.col("v") == c, F.col("weight") * 4.0).otherwise(0.0)).alias(f"s{c}") for c in range(K)])
-    post = written(first.select("item", "field", *_normal([F.col(f"s{c}") for c in range(K)], F.col("field"))))
+    item = votes.groupBy("item", "field").agg(F.array_sort(F.collect_list(F.struct("labeler", "v"))).alias("all")).where(F.size("all") > 1)
+    first = item.select("field", "all", F.posexplode("all").alias("k", "x"))
+    pair = first.select("field", "x", F.explode(F.slice("all", F.col("k") + 2, F.size("all"))).alias("y"))
+    return pair.groupBy("field", F.col("x.labeler").alias("x"), F.col("y.labeler").alias("y"), F.col("x.v").alias("vx"), F.col("y.v").alias("vy")).agg(F.count("*").alias("n"))
+
+
+def agreement_matrix(votes: DataFrame) -> DataFrame:
+    """(field, i, j, a) of every ordered pair of labelers who share an item."""
+    c = contingency(votes)
+    said = lambda who, v: c.groupBy("field", "x", "y", F.col(v).alias("v")).agg(F.sum("n").alias(who))
+    chance = said("nx", "vx").join(said("ny", "vy"), ["field", "x", "y", "v"]).groupBy("field", "x", "y").agg(F.sum(F.col("nx") * F.col("ny")).alias("c"))
+    cell = c.groupBy("field", "x", "y").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("vx") == F.col("vy"), F.col("n")).otherwise(0)).alias("same")).join(chance, ["field", "x", "y"], "left")
+    e = F.coalesce(F.col("c"), F.lit(0)) / (F.col("n") * F.col("n"))
+    a = cell.select("field", "x", "y", ((F.col("same") - F.col("n") * e) / (F.col("n") * (1 - e) + SHRINK)).alias("a"))
+    return a.select("field", F.col("x").alias("i"), F.col("y").alias("j"), "a").unionByName(a.select("field", F.col("y").alias("i"), F.col("x").alias("j"), "a"))
+
+
+def leading_vector(matrix: DataFrame, steps: int = 6, rounds: int = 60) -> DataFrame:
+    """(field, i, u): the leading eigenvector of each field's ``matrix`` (field, i, j, a), of length one.
+
+    The diagonal is raised by an eighth of the largest sum of a row, so that no eigenvalue of the other sign is as large
+    as the leading one and the iteration does not swing. ``steps`` steps make one job; ``rounds`` jobs without rest raise, they cut nothing.
+    """
+    row = matrix.groupBy("field", "i").agg(F.sum(F.abs("a")).alias("s"))
+    shifted = written(matrix.unionByName(row.withColumn("j", F.col("i")).withColumn("a", F.max("s").over(W.partitionBy("field")) / 8).select("field", "i", "j", "a")))
+    u = written(_unit(row.select("field", "i", F.lit(1.0).alias("u"))))
     for _ in range(rounds):
-        joint = votes.join(post, ["item", "field"]).groupBy("labeler", "field", "v").agg(*[F.sum(p).alias(p) for p in _classes()])
-        margin = joint.groupBy("labeler", "field").agg(*[F.sum(p).alias("m" + p) for p in _classes()])
-        size = F.try_element_at(F.create_map(*[F.lit(x) for f, w in CODEBOOK.items() for x in (f, len(w))]), F.col("field"))
-        confusion = written(joint.join(margin, ["labeler", "field"]).select(
-            "labeler", "field", "v", *[F.ln((F.col(p) + smooth / size) / (F.col("m" + p) + smooth)).alias("l" + p) for p in _classes()]))
-        prior = written(post.groupBy("field").agg(*[F.ln(F.sum(p) + 1.0).alias("b" + p) for p in _classes()]))
-        score = votes.join(confusion, ["labeler", "field", "v"]).groupBy("item", "field").agg(*[F.sum("l" + p).alias("l" + p) for p in _classes()])
-        post = written(score.join(prior, "field").select("item", "field", *_normal([F.col("l" + p) + F.col("b" + p) for p in _classes()], F.col("field"))))
-    return post
-
-
-def best_word(post: DataFrame) -> DataFrame:
-    """(item_key, label_field, label_value, confidence); at a tie the word that the codebook names first."""
-    p = F.array(*[F.col(c) for c in _classes()])
-    top = F.array_max(p)
-    at = F.array_position(p, top).cast("int")
-    words = F.create_map(*[x for f, w in CODEBOOK.items() for x in (F.lit(f), F.array(*map(F.lit, w)))])
-    return post.select(F.col("item").alias("item_key"), F.col("field").alias("label_field"), F.element_at(F.try_element_at(words, F.col("field")), at).alias("label_value"), top.alias("confidence"))
+        x = u
+        for _ in range(steps):
+            x = shifted.join(x.select("field", F.col("i").alias("j"), "u"), ["field", "j"]).groupBy("field", "i").agg(F.sum(F.col("a") * F.col("u")).alias("u"))
+        new = written(_unit(x).join(u.withColumnRenamed("u", "before"), ["field", "i"]))
+        moved = new.agg(F.max(F.abs(F.col("u") - F.col("before")))).first()[0]
+        u = new.select("field", "i", "u")
+        if moved is None or moved < SETTLED:
+            return u
+    raise RuntimeError(f"the vector did not settle within {rounds * steps} steps")
+
+
+def _unit(x: DataFrame) -> DataFrame:
+    norm = F.sqrt(F.sum(F.col("u") * F.col("u")).over(W.partitionBy("field")))
+    return x.select("field", "i", F.coalesce(F.col("u") / F.nullif(norm, F.lit(0.0)), F.lit(0.0)).alias("u"))
+
+
+def spectral_weights(votes: DataFrame) -> DataFrame:
+    """(labeler, field, weight, reliability, n_votes); weight in 0..1 with the largest of a field at 1.
+
+    A labeler who shares no item with another has a reliability of 0.5; who agrees less than by chance has 0.
+    """
+    a = written(agreement_matrix(votes))
+    u = leading_vector(a)
+    cell = a.join(u, ["field", "i"]).join(u.select("field", F.col("i").alias("j"), F.col("u").alias("w")), ["field", "j"])
+    fit = cell.groupBy("field").agg(F.sum(F.col("a") * F.col("u") * F.col("w")).alias("up"), F.sum(F.pow(F.col("u") * F.col("w"), 2)).alias("down"))
+    scale = F.sqrt(F.greatest(F.lit(0.0), F.coalesce(F.col("up") / F.nullif(F.col("down"), F.lit(0.0)), F.lit(0.0))))
+    r = u.join(fit.select("field", scale.alias("scale")), "field").select("field", F.col("i").alias("labeler"), F.greatest(F.lit(0.0), F.least(F.lit(0.98), F.col("u") * F.col("scale"))).alias("reliability"), F.greatest(F.lit(0.0), "u").alias("u"))
+    n = votes.groupBy("labeler", "field").agg(F.count("*").alias("n_votes"))
+    top = F.max("u").over(W.partitionBy("field"))
+    both = n.join(r, ["labeler", "field"], "left").withColumn("weight", F.coalesce(F.col("u") / F.nullif(top, F.lit(0.0)), F.lit(0.5)))
+    return both.select("labeler", "field", "weight", F.coalesce("reliability", F.lit(0.5)).alias("reliability"), "n_votes")
+
+
+def weighted_vote(votes: DataFrame, weights: DataFrame) -> DataFrame:
+    """(item, field, v, confidence): the word with most weight, at a tie the one that the codebook names first.
+
+    A vote of a labeler of reliability r weighs ln(1 + k r / (1 - r)) over k words, and a ten-thousandth at least, so
+    that an item which only guessers labelled has a label.
+    """
+    size = F.try_element_at(F.create_map(*[F.lit(x) for f, w in CODEBOOK.items() for x in (f, len(w))]), F.col("field"))
+    w = weights.select("labeler", "field", F.greatest(F.lit(1e-4), F.log1p(size * F.col("reliability") / (1 - F.col("reliability")))).alias("w"))
+    each = votes.join(w, ["labeler", "field"]).groupBy("item", "field").agg(*[F.sum(F.when(F.col("v") == c, F.col("w")).otherwise(0.0)).alias(f"s{c}") for c in range(K)])
+    s = F.array(*[F.round(f"s{c}", 9) for c in range(K)])
+    total = F.aggregate(s, F.lit(0.0), lambda x, y: x + F.exp(y - F.array_max(s)))
+    return each.select("item", "field", (F.array_position(s, F.array_max(s)) - 1).cast("int").alias("v"), (1 / total).alias("confidence"))
 
 
 def consensus(labels: DataFrame) -> DataFrame:
@@ -128,16 +142,17 @@ def consensus(labels: DataFrame) -> DataFrame:
     empty result.
     """
     votes = written(votes_of(labels))
-    return best_word(posteriors(votes, spectral_weights(votes)))
+    words = F.create_map(*[x for f, w in CODEBOOK.items() for x in (F.lit(f), F.array(*map(F.lit, w)))])
+    vote = weighted_vote(votes, spectral_weights(votes))
+    return vote.select(F.col("item").alias("item_key"), F.col("field").alias("label_field"), F.element_at(F.try_element_at(words, F.col("field")), F.col("v") + 1).alias("label_value"), "confidence")
 
 
 def reliability(labels: DataFrame) -> DataFrame:
-    """(labeler, label_field, weight, accuracy, n_votes): the spectral weight and the mean probability given to the labeler's words."""
+    """(labeler, label_field, weight, accuracy, n_votes): the spectral weight, and the share of votes that the consensus bears out."""
     votes = written(votes_of(labels))
-    weights = spectral_weights(votes)
-    post = posteriors(votes, weights)
-    given = F.element_at(F.array(*[F.col(c) for c in _classes()]), F.col("v") + 1)
-    hit = votes.join(post, ["item", "field"]).groupBy("labeler", "field").agg(F.avg(given).alias("accuracy"))
+    weights = written(spectral_weights(votes))
+    right = votes.join(weighted_vote(votes, weights).select("item", "field", F.col("v").alias("best")), ["item", "field"])
+    hit = right.groupBy("labeler", "field").agg(F.avg((F.col("v") == F.col("best")).cast("double")).alias("accuracy"))
     return weights.join(hit, ["labeler", "field"]).select("labeler", F.col("field").alias("label_field"), "weight", "accuracy", "n_votes")
 
 
