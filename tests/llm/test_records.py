@@ -1,7 +1,6 @@
 import random
 from collections import defaultdict
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,11 +143,44 @@ def test_splits_keep_groups_and_shares(spark):
     assert splits.assign_splits(df.where("false"), goal).count() == 0
 
 
-def test_place_takes_the_rarest_first():
-    counts = np.array([[10, 0], [10, 1], [0, 1], [5, 0]])
-    need = np.array([[20.0, 1.6], [5.0, 0.4]])
-    got = splits.place(counts, need)
-    assert got[1] == 0 and got[3] == 1 and (got >= 0).all()  # the rarest label's largest group goes first, where most is needed
+def test_quotas_are_dealt_by_need():
+    def one_by_one(need, total, size, members):
+        need, total, got = list(need), list(total), [0] * len(need)
+        for _ in range(members):
+            i = max(range(len(need)), key=lambda j: (need[j], total[j], -j))
+            got[i] += 1
+            need[i] -= size
+            total[i] -= size
+        return got
+
+    r = random.Random(3)
+    for _ in range(200):
+        n, size, members = r.randint(1, 5), r.randint(1, 6), r.randint(0, 300)
+        need, total = [r.uniform(-20, 900) for _ in range(n)], [r.uniform(0, 5000) for _ in range(n)]
+        assert splits.quotas(need, total, size, members) == one_by_one(need, total, size, members)
+
+
+def test_rare_labels_are_spread(spark):
+    """Labels of 1, 2, 5 and 100 records among 3,000 groups: each is spread as near to its shares as whole groups allow."""
+    rows, k = [], 0
+    for s in range(3000):
+        for _ in range(1 + s % 5):
+            k += 1
+            rows.append((k, f"u{k}", None, None, f"s{s}", f"s{s}", "ab"[s % 2]))
+        label = "once" if s == 7 else "twice" if s in (50, 2000) else "five" if s % 600 == 11 else "hundred" if s % 30 == 13 else None
+        if label:
+            k += 1
+            rows.append((k, f"u{k}", None, None, f"s{s}", f"s{s}", label))
+    df = spark.createDataFrame(rows, "row_id long, uuid string, parent string, message_id string, session string, node string, label string")
+    goal = spark.createDataFrame([("train", 0.8), ("test", 0.1), ("val", 0.1)], "split_name string, target_share double")
+    n = defaultdict(int)
+    for x in splits.assign_splits(df, goal).collect():
+        n[x.label, x.split_name] += 1
+    assert n["hundred", "train"] == 80 and n["hundred", "test"] == n["hundred", "val"] == 10
+    assert n["five", "train"] == 4 and n["twice", "train"] <= 2 and sum(v for (a, _), v in n.items() if a == "once") == 1
+    for label in "ab":
+        total = sum(v for (a, _), v in n.items() if a == label)
+        assert abs(n[label, "train"] / total - 0.8) < 0.01 and abs(n[label, "val"] / total - 0.1) < 0.01
 
 
 def test_linked_pairs(spark):

@@ -16,7 +16,7 @@ def library():
 
 
 LIB = library()
-OWN = T.transducer(T.default_path())
+OWN = T.transducer(T.vocabulary())
 
 
 def same(text):
@@ -44,7 +44,7 @@ def test_very_long_words():
 def test_caches_do_not_change_results(monkeypatch):
     monkeypatch.setattr(T, "MAX_WORDS", 2)
     monkeypatch.setattr(T, "MAX_STEPS", 10)
-    fresh = T.Transducer(T.read_ranks(T.default_path()))
+    fresh = T.Transducer(T.read_ranks(T.vocabulary()))
     text = "Several different words, again and again; several different words."
     assert fresh.encode(text) == LIB.encode(text, add_special_tokens=False).ids
 
@@ -62,5 +62,6 @@ def test_documents(spark):
     ids = LIB.encode("Hello world", add_special_tokens=False).ids
     assert sorted((r.doc_id, r.ids) for r in got) == [(1, ids), (1, ids), (2, []), (3, [])]
     assert {(r.doc_id, r.text) for r in T.decode_documents(T.encode_documents(df)).collect()} == {(1, "Hello world"), (2, ""), (3, "")}
-    assert {(r.doc_id, r.n_tokens) for r in T.count_tokens(df).collect()} == {(1, len(ids)), (2, 0), (3, 0)}
+    assert {(r.doc_id, r.ids, r.n_tokens) for r in T.count_tokens(df, "ids").collect()} == {(1, "x", len(ids)), (2, "y", 0), (3, "z", 0)}
+    assert {(r.doc_id, r.n_ids, r.same) for r in T.round_trip(df).collect()} == {(1, len(ids), True), (2, 0, True), (3, 0, True)}
     assert T.encode_documents(df.where("false")).count() == 0

@@ -69,16 +69,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, n_ids, same): whether the decoded ids give the text back; null and empty texts come back empty."""
-    documents = table(spark, d, "documents").select("doc_id", "text")
-    encoded = written(tokens.encode_documents(documents))
-    back = tokens.decode_documents(encoded).withColumnRenamed("text", "back")
-    sizes = encoded.select("doc_id", F.size("ids").alias("n_ids"))
-    return documents.join(back, "doc_id").join(sizes, "doc_id").select("doc_id", "n_ids", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
+    return tokens.round_trip(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    return written(tokens.count_tokens(documents).join(documents.select("doc_id", "source"), "doc_id"))
+    return written(tokens.count_tokens(table(spark, d, "documents"), "source"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -3,26 +3,28 @@
 1. Sessions are linked when a message id occurs in both or a record follows a record of the other.
 2. Components of the link graph come from min-label propagation with pointer shortcuts; each round is one join of the
    edges with the labels, spread by salts, and is written so that a lost executor loses nothing.
-3. Each component has a vector of label counts. Components that hold more than 1/``GIANTS`` of all records (at most
-   ``GIANTS`` of them) are placed first, on the driver. The others are placed in blocks of about ``BLOCK`` components,
-   each block with its share of what is still needed: the rarest outstanding label first, its largest component first,
-   into the split that needs this label most.
+3. Each component has a vector of label counts. The label with the fewest records outstanding comes first, over all
+   data: its components fall into classes by how many of its records they hold, largest first, and each class gets
+   whole quotas per split, every place to the split that needs this label most. Members take the places of their class
+   in seeded order. Then what the placed components hold of other labels is taken off what is needed, and the next
+   label comes. Nothing is placed in blocks, so a label of few records is spread as its shares ask.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.records import plain_session, role_of
 from weftline.operators.graph import connected_components
-from weftline.operators.stage import salted_left_join, written
-
-GIANTS = 2000
-BLOCK = 20_000
+from weftline.operators.stage import running, salted_left_join, written
 
+#: Most splits and labels: what the driver holds is their product. More raise an error; none is dropped.
+MOST_SPLITS, MOST_LABELS = 100, 1000
+# Permission modes of chat records; others are one label.
+MODES = ("default", "acceptedits", "plan", "bypasspermissions", "auto", "dontask")
 
 #: Words that stand for a missing id, alone or after a prefix such as ``msg_``.
 MISSING = ("unknown", "synthetic", "null", "none", "nil", "nan", "na", "undefined", "missing", "empty", "blank", "placeholder", "dummy")
@@ -57,7 +59,7 @@ def judgment_nodes(table: DataFrame) -> DataFrame:
     return table.select(
         "row_id", "uuid", F.col("parentUuid").alias("parent"), real_id(F.col("message.id")).alias("message_id"), session.alias("session"),
         F.coalesce(session, F.concat(F.lit("record:"), F.coalesce("uuid", F.col("row_id").cast("string")))).alias("node"),
-        F.concat_ws("/", F.coalesce(role_of(F.col("message.role")), F.lit("unreadable")), F.coalesce(F.trim("permissionMode"), F.lit("-"))).alias("label"),
+        F.concat_ws("/", F.coalesce(role_of(F.col("message.role")), F.lit("unreadable")), F.when(F.lower(F.trim("permissionMode")).isin(*MODES), F.lower(F.trim("permissionMode"))).when(F.col("permissionMode").isNull(), "-").otherwise("other")).alias("label"),
     )
 
 
@@ -70,81 +72,86 @@ def linked_pairs(records: DataFrame) -> DataFrame:
     return a.join(b, "component").where("session_a < session_b").select("session_a", "session_b")
 
 
-def place(counts: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Split of each group: ``counts`` is groups x labels, ``need`` splits x labels and is used up in place.
+def quotas(need: list[float], total: list[float], size: int, members: int) -> list[int]:
+    """How many of ``members`` groups with ``size`` records of a label each split gets.
 
-    The label with the fewest records outstanding comes first; of the groups with this label the one with most of it;
-    into the split that needs most of the label; of splits whose need differs by less than what the group brings, the one
-    that needs most records, at a tie the first.
+    Each place goes to the split that needs most of the label, of equal needs to the one that needs most records; what
+    all splits need after the last place differs by one group at most, so places are counted, not dealt one by one,
+    as long as many are left.
     """
-    n, labels = counts.shape
-    out = np.full(n, -1, dtype=np.int64)
-    left = counts.sum(0).astype(np.float64)
-    order = {k: np.argsort(-counts[:, k], kind="stable") for k in range(labels)}
-    at = dict.fromkeys(range(labels), 0)
-    sums = need.sum(1)
-    while True:
-        open_ = np.flatnonzero(left > 0)
-        if not len(open_):
-            return out
-        k = int(open_[np.argmin(left[open_])])
-        seq, i = order[k], at[k]
-        while i < n and out[seq[i]] >= 0:
-            i += 1
-        at[k] = i
-        if i >= n or counts[seq[i], k] == 0:
-            left[k] = 0
-            continue
-        g = int(seq[i])
-        near = need[:, k] > need[:, k].max() - max(counts[g, k], 1)
-        s = max(np.flatnonzero(near), key=lambda j: (sums[j], need[j, k], -j))
-        out[g] = s
-        need[s] -= counts[g]
-        sums[s] -= counts[g].sum()
-        left -= counts[g]
-
-
-def assign_splits(records: DataFrame, targets: DataFrame) -> DataFrame:
+    left, got = list(need), [0] * len(need)
+    while members > 4 * len(need):  # whole rounds: lower every split to a common level that uses up half of the places
+        high = max(left)
+        low = high - size * members
+        for _ in range(80):
+            level = (high + low) / 2
+            if sum(max(0, int((x - level) // size)) for x in left) > members - 2 * len(need):
+                low = level
+            else:
+                high = level
+        take = [max(0, int((x - high) // size)) for x in left]
+        if not any(take):
+            break
+        for i, n in enumerate(take):
+            got[i], left[i], members = got[i] + n, left[i] - n * size, members - n
+    heap = [(-x, -total[i], i) for i, x in enumerate(left)]
+    heapq.heapify(heap)
+    for _ in range(members):
+        x, t, i = heapq.heappop(heap)
+        got[i] += 1
+        heapq.heappush(heap, (x + size, t + size, i))
+    return got
+
+
+def assign_splits(records: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """``records`` (node, label and any other columns) with ``split_name``; a node's component goes to one split.
 
     ``targets`` (split_name, target_share) is a small fixed table. Shares that are null or not positive get nothing; an
-    empty target table gives null splits. Records keep their columns; none is dropped or repeated.
+    empty target table gives null splits. Records keep their columns; none is dropped or repeated. The driver holds a
+    number per split and label, and of the label at hand the counts of its class sizes, of which there are at most
+    sqrt(2 n) for n records.
     """
-    goal = targets.where(F.col("split_name").isNotNull() & (F.col("target_share") > 0)).groupBy("split_name").agg(F.sum("target_share").alias("s")).orderBy("split_name").limit(1000).collect()
+    goal = targets.where(F.col("split_name").isNotNull() & (F.col("target_share") > 0)).groupBy("split_name").agg(F.sum("target_share").alias("s")).orderBy("split_name").take(MOST_SPLITS + 1)
     if not goal:
         return records.withColumn("split_name", F.lit(None).cast("string"))
-    names, shares = [r[0] for r in goal], np.array([r[1] for r in goal], dtype=float)
-    shares /= shares.sum()
+    names, whole = [r[0] for r in goal], sum(r[1] for r in goal)
     comp = connected_components(session_links(records))
-    per_node = written(records.groupBy("node", "label").agg(F.count("*").alias("n")))
+    per_node = records.groupBy("node", "label").agg(F.count("*").alias("n"))
     tagged = salted_left_join(per_node, comp, ["node"]).withColumn("component", F.coalesce("component", "node"))
-    sizes = written(tagged.groupBy("component", "label").agg(F.sum("n").alias("n")))
-    total = {r[0]: r[1] for r in sizes.groupBy("label").agg(F.sum("n")).collect()}  # one row per label of the scheme
-    labels = sorted(total)
-    everything = sum(total.values())
-    giant = sizes.groupBy("component").agg(F.sum("n").alias("all")).where(F.col("all") * GIANTS > everything).select("component")
-    giants = sizes.join(giant, "component", "left_semi").toPandas()  # at most GIANTS components
-    need = shares[:, None] * np.array([total[k] for k in labels], dtype=float)[None, :]
-    fixed: list[tuple[str, str]] = []
-    if len(giants):
-        wide = giants.pivot_table(index="component", columns="label", values="n", aggfunc="sum", fill_value=0).reindex(columns=labels, fill_value=0).sort_index()
-        chosen = place(wide.to_numpy(), need)
-        fixed = [(c, names[s]) for c, s in zip(wide.index, chosen)]
-    spark = records.sparkSession
-    first = spark.createDataFrame(fixed, "component string, split_name string")
-    rest = sizes.join(first, "component", "left_anti")
-    count = rest.select("component").distinct().count()
-    blocks = max(1, -(-count // BLOCK))
-    outstanding = np.maximum(need, 0)
-    share_left = outstanding / np.maximum(outstanding.sum(0, keepdims=True), 1e-9)
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="component", columns="label", values="n", aggfunc="sum", fill_value=0).reindex(columns=labels, fill_value=0).sort_index()
-        m = wide.to_numpy()
-        s = place(m, share_left * m.sum(0)[None, :])
-        return pd.DataFrame({"component": wide.index, "split_name": [names[i] for i in s]})
-
-    placed = rest.withColumn("_b", F.pmod(F.xxhash64("component"), F.lit(blocks))).groupBy("_b").applyInPandas(block, "component string, split_name string")
-    where_to = written(first.unionByName(placed))
-    named = salted_left_join(salted_left_join(records, comp, ["node"]).withColumn("component", F.coalesce("component", "node")), where_to, ["component"])
-    return named.drop("component")
+    sizes = written(tagged.groupBy("component", F.coalesce("label", F.lit("")).alias("label")).agg(F.sum("n").alias("n")))
+    outstanding = {r[0]: r[1] for r in sizes.groupBy("label").agg(F.sum("n")).take(MOST_LABELS + 1)}
+    if len(names) > MOST_SPLITS or len(outstanding) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_SPLITS} splits or {MOST_LABELS} labels")
+    need = {(i, k): n * r[1] / whole for k, n in outstanding.items() for i, r in enumerate(goal)}
+    open_ = written(sizes.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("has")))  # at most MOST_LABELS entries
+    placed = None
+    for _ in range(len(outstanding)):
+        live = [k for k, n in outstanding.items() if n > 0]
+        if not live:
+            break
+        k = min(live, key=lambda x: (outstanding[x], x))
+        mine = open_.withColumn("size", F.coalesce(F.try_element_at("has", F.lit(k)), F.lit(0))).where("size > 0")
+        dealt = []
+        for size, members in sorted(((r[0], r[1]) for r in mine.groupBy("size").agg(F.count("*")).collect()), reverse=True):
+            got = quotas([need[i, k] for i in range(len(names))], [sum(need[i, x] for x in outstanding) for i in range(len(names))], size, members)
+            at = 0
+            for i, n in enumerate(got):
+                dealt += [(size, at, at + n, i)] * (n > 0)
+                at += n
+                need[i, k] -= n * size
+        for i in range(len(names)):  # what was placed is counted in full below
+            need[i, k] += sum((b - a) * size for size, a, b, j in dealt if j == i)
+        places = records.sparkSession.createDataFrame(dealt, "size bigint, a bigint, b bigint, split int")
+        seeded = mine.withColumn("h", F.xxhash64("component", F.lit(seed)))
+        ranked = running(seeded, "size", "h", ["h", "component"], sums={"rank": F.lit(1).cast("bigint")}, width=1 << 54)
+        new = written(ranked.join(places, "size").where((F.col("rank") > F.col("a")) & (F.col("rank") <= F.col("b"))).select("component", "has", "split"))
+        for r in new.select("split", F.explode("has").alias("label", "n")).groupBy("split", "label").agg(F.sum("n").alias("n")).collect():
+            need[r[0], r[1]] -= r[2]
+            outstanding[r[1]] -= r[2]
+        chosen = new.select("component", "split")
+        placed = chosen if placed is None else placed.unionByName(chosen)
+        open_ = written(open_.where(F.coalesce(F.try_element_at("has", F.lit(k)), F.lit(0)) <= 0))
+    if placed is None:
+        return records.withColumn("split_name", F.lit(None).cast("string"))
+    named = placed.select("component", F.element_at(F.array(*map(F.lit, names)), F.col("split") + 1).alias("split_name"))
+    return salted_left_join(salted_left_join(records, comp, ["node"]).withColumn("component", F.coalesce("component", "node")), named, ["component"]).drop("component")

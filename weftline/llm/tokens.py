@@ -27,10 +27,9 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPA
 MAX_WORDS, MAX_STEPS = 400_000, 2_000_000
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes to id of a ``.tiktoken`` file, ids in order of merges."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """Token bytes to id of the content of a ``.tiktoken`` file, ids in order of merges."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
 def default_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -208,42 +207,65 @@ class Utf8Stream:
 
 
 @lru_cache(2)
-def transducer(path: str) -> Transducer:
-    """One transducer per worker and file."""
-    return Transducer(read_ranks(path))
+def transducer(vocabulary: bytes) -> Transducer:
+    """One transducer per worker and vocabulary. The file's content travels with the tasks (under 1 MB): executors need no file."""
+    return Transducer(read_ranks(vocabulary))
 
 
-def encode_documents(documents: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids) of each row. Null and empty texts have the empty list; texts are whole, however long; doubled rows stay."""
-    path = path or default_path()
+def vocabulary(path: str | None = None) -> bytes:
+    """The content of a vocabulary file, read on the driver."""
+    with open(path or default_path(), "rb") as f:
+        return f.read()
+
+
+def _encoded(documents: DataFrame, out: str, fields: list[str], give, path: str | None) -> DataFrame:
+    """Runs ``give`` (the ids of each text of a batch, the batch) over batches of ``documents``, whose last column is the text."""
+    held = vocabulary(path)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(path)
+        t = transducer(held)
         for batch in batches:
-            offsets, flat = [0], []
-            for s in batch.column(1).to_pylist():
-                if s:
-                    flat.append(np.array(t.encode(s), dtype=np.int32))
-                    offsets.append(offsets[-1] + len(flat[-1]))
-                else:
-                    offsets.append(offsets[-1])
-            values = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], names=[key, "ids"])
+            ids = [np.array(t.encode(s), dtype=np.int32) if s else np.zeros(0, dtype=np.int32) for s in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(give(ids, batch, t), names=fields)
+
+    return documents.mapInArrow(kernel, out)
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)))
+
+
+def encode_documents(documents: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids) of each row. Null and empty texts have the empty list; texts are whole, however long; doubled rows stay."""
+    rows = documents.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias(text))
+    return _encoded(rows, f"{key} bigint, ids array<int>", [key, "ids"], lambda ids, batch, t: [batch.column(0), _lists(ids)], path)
+
+
+def count_tokens(documents: DataFrame, carry: str, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, carry, n_tokens) of each row, 0 for null and empty texts; ``carry`` is a text column taken along."""
+    rows = documents.select(F.col(key).cast("bigint").alias(key), F.col(carry).cast("string").alias(carry), F.col(text).cast("string").alias(text))
+    give = lambda ids, batch, t: [batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64())]
+    return _encoded(rows, f"{key} bigint, {carry} string, n_tokens bigint", [key, carry, "n_tokens"], give, path)
+
 
-    return documents.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(kernel, f"{key} bigint, ids array<int>")
+def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_ids, same): whether the decoded ids of each text give it back; null and empty texts come back empty."""
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    def give(ids: list[np.ndarray], batch: pa.RecordBatch, t: Transducer) -> list:
+        same = ["".join(t.decode(x)) == (s or "") for x, s in zip(ids, batch.column(1).to_pylist())]
+        return [batch.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array(same)]
 
-def count_tokens(documents: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens) of each row, 0 for null and empty texts."""
-    return encode_documents(documents, path, key, text).select(key, F.size("ids").cast("bigint").alias("n_tokens"))
+    return _encoded(rows, "doc_id bigint, n_ids int, same boolean", ["doc_id", "n_ids", "same"], give, path)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
     """(key, text) of rows (key, ids); null ids give null."""
-    path = path or default_path()
+    held = vocabulary(path)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(path)
+        t = transducer(held)
         for batch in batches:
             texts = [None if ids is None else "".join(t.decode(ids)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
