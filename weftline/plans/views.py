@@ -75,7 +75,7 @@ def old_files(spark: SparkSession, d: str, days: int = 23) -> DataFrame:
 
 def open_questions(spark: SparkSession, d: str) -> DataFrame:
     """What a team has to name: areas that files were touched in, and pieces that no kind of work fits."""
-    from weftline.plans.work import work_types
+    from weftline.plans.ledger import work_types
 
     o = pieces.objects(_events(spark, d)).where("type = 'file'").agg(F.count_distinct(F.regexp_extract("id", r"^src/([a-z0-9_-]+)/", 1)).alias("n")).select(F.lit("areas").alias("what"), "n")
     return o.unionByName(work_types(spark, d).where("work_type = 'other'").agg(F.count("*").alias("n")).select(F.lit("untyped_pieces").alias("what"), "n"))
@@ -85,7 +85,7 @@ NAMES = (call_subjects, private_outlines, artifact_roles, piece_neighbours, head
 QUERIES = {f.__name__: f for f in NAMES}
 
 from weftline.plans.sessions import SQL as _SESSION_SQL  # noqa: E402
-from weftline.plans.work import SQL as _WORK_SQL  # noqa: E402
+from weftline.plans.ledger import SQL as _WORK_SQL  # noqa: E402
 
 _DULL = ", ".join(_Q(x) for x in DULL)
 SQL = {

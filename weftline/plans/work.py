@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftline.functions.rules import matches
-from weftline.functions.text import tokens
 from weftline.operators import events as E
 from weftline.operators import graph, measures, pieces
 from weftline.operators import steps as S
@@ -81,66 +79,6 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).orderBy(F.desc("value"), "session", "root", "question").limit(50)
 
 
-# Criteria that an ask states; all that match count.
-CRITERIA = (
-    ("pull_request", {"ask": r"(?i)(open|create|make|raise|submit) [^.]{0,30}(pr|pull request)($|[^a-z])"}),
-    ("merge", {"ask": r"(?i)(^|[^a-z])merge($|[^a-z])"}),
-    ("deploy", {"ask": r"(?i)(^|[^a-z])(deploy|ship it|release|go live)($|[^a-z])"}),
-    ("commit", {"ask": r"(?i)(^|[^a-z])commit($|[^a-z])"}),
-    ("tests", {"ask": r"(?i)(tests?|checks)[^.]{0,30}(pass|green|fix|work)|add a test|run the checks"}),
-    ("answer", {"ask": r"(?i)^ *(why|what|how|where|when|which|who|can you (explain|tell|check|find)|explain|review)($|[^a-z])|\? *$"}),
-    ("file", {"ask": r"(?i)(into|create|write|add|save|tidy up) [^\n]{0,30}[a-z0-9_./-]+\.(md|ts|tsx|js|mjs|py|go|rs|sql)"}),
-    ("change", {"ask": r"(?i)(^|[^a-z])(fix|implement|add|build|refactor|update|change|improve|move|tidy)($|[^a-z])"}),
-)
-
-
-def criteria(spark: SparkSession, d: str) -> DataFrame:
-    """Criteria of every piece's ask, numbered in the order of the table."""
-    p = pieces.pieces(_events(spark, d)).where("ask is not null")
-    found = F.array_compact(F.array(*[F.when(matches(pattern), F.lit(kind)) for kind, pattern in CRITERIA]))
-    return p.select("piece_id", F.posexplode(found).alias("pos", "criterion")).select("piece_id", F.concat(F.lit("c"), (F.col("pos") + 1).cast("string")).alias("id"), "criterion")
-
-
-def criteria_checked(spark: SparkSession, d: str) -> DataFrame:
-    """Each criterion met, unmet or unknown, by the last call or message of the piece that decides it."""
-    ev = written(pieces.with_piece(S.with_facts(_events(spark, d))))
-    tool = (F.col("kind") == "tool") & ~F.coalesce("pending", F.lit(False))
-    last = lambda c, v: F.max_by(v, F.when(c, F.col("i")))
-    good = ~F.col("result").isin("fail", "denied")
-    w = W.partitionBy("piece_id")
-    ev = ev.withColumn("code_at", F.max(F.when(F.col("code"), F.col("i"))).over(w)).withColumn("edit_at", F.max(F.when(F.col("action") == "edit", F.col("i"))).over(w))
-    check = tool & F.col("action").isin("test", "typecheck", "lint", "build")
-    by = ev.groupBy("piece_id").agg(
-        last(tool & (F.col("target").rlike("gh pr create") | F.col("pr").isNotNull()), good).alias("pull_request"), last(tool & F.col("target").rlike("gh pr merge|git merge"), good).alias("merge"), last(tool & (F.col("action") == "deploy"), good).alias("deploy"),
-        last(tool & F.col("action").isin("commit", "ship"), good).alias("commit"), last(tool & (F.col("action") == "test") & (F.col("i") > F.coalesce("code_at", F.lit(-1))), good).alias("tests"),
-        last(F.col("kind") == "say", F.length("text") > 160).alias("answer"), last(tool & (F.col("action") == "edit"), good).alias("file"), last(check & (F.col("i") > F.col("edit_at")), good).alias("change"),
-    )
-    met = F.element_at(F.create_map(*[x for k, _ in CRITERIA for x in (F.lit(k), F.col(k))]), F.col("criterion"))
-    return criteria(spark, d).join(by, "piece_id").select("piece_id", "id", "criterion", F.when(met.isNull(), "unknown").when(met, "met").otherwise("unmet").alias("status"))
-
-
-# Kinds of work; each match of a pattern in the ask adds to its score.
-WORK = (
-    ("fix", r"(?i)(fix|bug|broken|error|fails?|failing|crash|regression|wrong|issue)"),
-    ("feature", r"(?i)(implement|add|build|create|new|support|introduce)"),
-    ("improve", r"(?i)(improve|better|polish|clean ?up|tidy|faster|simplif|upgrade)"),
-    ("refactor", r"(?i)(refactor|restructure|extract|rename|move|split)"),
-    ("investigate", r"(?i)(why|what|how|where|when|which|investigate|root cause)"),
-    ("review", r"(?i)(audit|review|critique|assess|verify|check (that|if|whether))"),
-    ("ship", r"(?i)(merge|deploy|publish|release|ship|push|commit|open a pr)"),
-    ("write", r"(?i)(write|draft|docs?|readme|plan|spec|outline)"),
-)
-
-
-def work_types(spark: SparkSession, d: str) -> DataFrame:
-    """The kind of work of each piece by its ask; 0.6 for a match, 0.4 for up to two more; 'other' where none matches."""
-    p = pieces.pieces(_events(spark, d)).where("ask is not null").withColumn("head", F.substring("ask", 1, 400))
-    count = [F.regexp_count("head", F.lit(pattern)) for _, pattern in WORK]
-    scored = F.array(*[F.struct(F.when(n > 0, 6 + 4 * F.least(F.lit(2), n - 1)).otherwise(0).alias("score"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (n, (name, _)) in enumerate(zip(count, WORK))])
-    best = F.array_max(scored)
-    return p.select("piece_id", F.when(best["score"] > 0, best["name"]).otherwise("other").alias("work_type"), best["score"].cast("bigint").alias("tenths"))
-
-
 def area_segments(spark: SparkSession, d: str) -> DataFrame:
     """How many files and pieces touch each area: the directory part of a file behind ``src``."""
     o = pieces.objects(_events(spark, d)).where("type = 'file'")
@@ -197,13 +135,7 @@ def top_terms(spark: SparkSession, d: str) -> DataFrame:
     return pieces.term_weights(docs).withColumn("k", F.row_number().over(w)).where("k <= 3").select("doc", "term", "tf", "df")
 
 
-def search_pieces(spark: SparkSession, d: str, query: str = "nightly export webhook queue") -> DataFrame:
-    words = [r[0] for r in spark.range(1).select(F.explode(tokens(F.lit(query)))).collect()]
-    found = pieces.search(pieces.search_fields(_events(spark, d)), words)
-    return found.select("doc", F.floor(F.col("score") * 1e6 + 0.5).cast("bigint").alias("score_e6"), "hits")
-
-
-def filter_goals(spark: SparkSession, d: str, query: str = "outcome:shipped conf:>=0.8") -> DataFrame:
+def filter_goals(spark: SparkSession, d: str, query: str = "outcome:shipped conf:>=0.5") -> DataFrame:
     filters, _ = pieces.parse_query(query)
     return pieces.where_query(goals(spark, d), filters).select("session", "root", "outcome", "confidence")
 
@@ -236,8 +168,8 @@ def upload_bins(spark: SparkSession, d: str, most: int = 200) -> DataFrame:
 
 
 NAMES = (
-    threads, thread_spans, goals, goal_backtracks, receipts, overall_confidence, review_queue, criteria, criteria_checked, work_types, area_segments, objects_touched, rare_objects, piece_links, workstreams, best_parents,
-    continuations, top_terms, search_pieces, filter_goals, positional_zip, lane_packing, upload_bins,
+    threads, thread_spans, goals, goal_backtracks, receipts, overall_confidence, review_queue, area_segments, objects_touched, rare_objects, piece_links, workstreams, best_parents,
+    continuations, top_terms, filter_goals, positional_zip, lane_packing, upload_bins,
 )
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -256,12 +188,8 @@ _LINK = _OBJ + """, pr0 AS (SELECT *, lag(piece_id) OVER w AS a, lag(start) OVER
  lk AS (SELECT a, b, 'same_' || type AS relationship, CASE WHEN files >= 2 AND type = 'file' THEN least(0.88::DOUBLE, 0.7::DOUBLE + 0.06::DOUBLE * files) ELSE c END AS confidence FROM
   (SELECT a, b, max(c) AS c, max(struct_pack(c := c, type := type)).type AS type, count(*) FILTER (type = 'file') AS files FROM e0 GROUP BY a, b))"""
 _TOK = lambda c: f"list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(lower({c}), 'https?://[^ ]+', ' ', 'g'), '[^a-z0-9#._/-]+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '^[._/-]+|[._/-]+$', '', 'g')), lambda w: length(w) > 2 AND NOT list_contains([{', '.join(_Q(w) for w in __import__('weftline.functions.text', fromlist=['STOPWORDS']).STOPWORDS)}], w) AND NOT regexp_matches(w, '^[0-9]+$'))"
-_CRIT = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(ask, {_Q(p['ask'])}) THEN {_Q(k)} END" for k, p in CRITERIA) + "], lambda x: x IS NOT NULL)"
-_WORK = ", ".join(f"CASE WHEN len(regexp_extract_all(head, {_Q(p)})) > 0 THEN 6 + 4 * least(2, len(regexp_extract_all(head, {_Q(p)})) - 1) ELSE 0 END" for _, p in WORK)
 
 SQL = {
-    "criteria": _PIECE + f", c AS (SELECT piece_id, {_CRIT} AS found FROM pieces WHERE ask IS NOT NULL) SELECT piece_id, 'c' || generate_subscripts(found, 1) AS id, unnest(found) AS criterion FROM c",
-    "work_types": _PIECE + f", s AS (SELECT piece_id, [{_WORK}] AS sc FROM (SELECT piece_id, left(ask, 400) AS head FROM pieces WHERE ask IS NOT NULL)) SELECT piece_id, CASE WHEN list_max(sc) > 0 THEN [{', '.join(_Q(k) for k, _ in WORK)}][list_position(sc, list_max(sc))] ELSE 'other' END AS work_type, CAST(list_max(sc) AS BIGINT) AS tenths FROM s",
     "area_segments": _OBJ + "SELECT regexp_extract(id, '^src/([a-z0-9_-]+)/', 1) AS area, count(DISTINCT id) AS files, count(DISTINCT piece_id) AS pieces FROM ob WHERE type = 'file' GROUP BY 1",
     "objects_touched": _OBJ + "SELECT piece_id, type, id FROM ob",
     "rare_objects": _OBJ + "SELECT piece_id, type, id, n FROM rare",
@@ -279,11 +207,5 @@ SQL = {
         pair AS (SELECT * FROM (SELECT piece_id, ask, lag(piece_id) OVER (PARTITION BY session ORDER BY piece) AS before FROM p) WHERE before IS NOT NULL),
         dt AS (SELECT pair.piece_id, sum(x.weight * y.weight) AS dot FROM pair JOIN v x ON x.doc = pair.piece_id JOIN v y ON y.doc = pair.before AND y.term = x.term GROUP BY pair.piece_id)
         SELECT pair.piece_id, before, CASE WHEN length(ask) < 60 THEN 'short' ELSE 'similar' END AS reason FROM pair LEFT JOIN dt USING (piece_id) LEFT JOIN nm a ON a.doc = pair.piece_id LEFT JOIN nm b ON b.doc = pair.before WHERE length(ask) < 60 OR coalesce(dot / (a.norm * b.norm), 0) >= 0.3""",
-    "search_pieces": _PIECE + f""", fl AS (SELECT piece_id AS doc, 'ask' AS field, text FROM pc WHERE kind = 'ask' UNION ALL SELECT piece_id, CASE WHEN regexp_matches(target, {_Q(pieces.FILE)}) THEN 'files' ELSE 'calls' END, target FROM pc WHERE kind = 'tool'),
-        ix AS (SELECT DISTINCT doc, field, term FROM (SELECT doc, field, unnest({_TOK('text')}) AS term FROM fl)), wt AS (SELECT *, CASE field WHEN 'ask' THEN 3.0 WHEN 'files' THEN 1.2 ELSE 0.4 END::DOUBLE AS w FROM ix),
-        sz AS (SELECT doc, sum(w) AS len FROM wt GROUP BY doc), stt AS (SELECT count(*) AS n, avg(len) AS avg FROM sz), qt AS (SELECT DISTINCT unnest({_TOK(_Q('nightly export webhook queue'))}) AS term),
-        po AS (SELECT doc, term, sum(w) AS f FROM wt SEMI JOIN qt USING (term) GROUP BY doc, term), dfr AS (SELECT term, count(*) AS df FROM po GROUP BY term),
-        s AS (SELECT doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg))) AS s, count(*) AS hits FROM po JOIN dfr USING (term) JOIN sz USING (doc) CROSS JOIN stt GROUP BY doc)
-        SELECT doc, CAST(floor(score * 1e6 + 0.5) AS BIGINT) AS score_e6, hits FROM (SELECT doc, hits, s * (hits / (SELECT count(*) FROM qt)) * (hits / (SELECT count(*) FROM qt)) AS score FROM s) ORDER BY score DESC, doc LIMIT 20""",
     "positional_zip": _WITH + ", cl AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY row_id, pos) AS n, b.id AS call_id FROM block WHERE b.type = 'tool_use'), rs AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY row_id, pos) AS n, b.tool_use_id AS result_id FROM block WHERE b.type = 'tool_result') SELECT session, count(*) AS pairs, count(*) FILTER (call_id = result_id) AS same FROM cl FULL JOIN rs USING (session, n) GROUP BY session",
 }
