@@ -111,7 +111,7 @@ def test_query_language(spark):
 
 
 def test_search_ranks_more_terms_first(spark):
-    ix = spark.createDataFrame([("d1", "ask", "alpha"), ("d1", "ask", "beta"), ("d2", "ask", "alpha"), ("d3", "calls", "alpha"), ("d4", "ask", "gamma")], "doc string, field string, term string")
+    ix = spark.createDataFrame([("d1", "summary", "alpha"), ("d1", "summary", "beta"), ("d2", "summary", "alpha"), ("d3", "actions", "alpha"), ("d4", "summary", "gamma")], "doc string, field string, term string")
     assert [r.doc for r in P.search(ix, ["alpha", "beta"]).collect()][0] == "d1"
     assert P.search(ix, ["none"]).count() == 0 and P.search(ix, []).count() == 0
 

@@ -11,6 +11,7 @@ from weftline.functions.text import first_sentence
 from weftline.operators import pieces
 from weftline.operators import steps as S
 from weftline.operators import threads as T
+from weftline.operators.stage import written
 
 # Outcome of a piece in the vocabulary of documents.
 SUCCESS = {
@@ -68,8 +69,9 @@ def constraints(asks: DataFrame) -> DataFrame:
 
 def piece_steps(events: DataFrame) -> DataFrame:
     """Events with facts; ``root`` is the piece that owns them, ``final_i`` the last position of the session."""
-    p = pieces.with_piece(S.with_facts(events)).withColumn("root", F.col("piece"))
-    return p.join(p.groupBy("session").agg(F.max("i").alias("final_i")), "session")
+    ev = written(S.with_facts(events))
+    p = pieces.with_piece(ev).withColumn("root", F.col("piece"))
+    return p.join(ev.groupBy("session").agg(F.max("i").alias("final_i")), "session")
 
 
 def checked_criteria(steps: DataFrame, stated: DataFrame) -> DataFrame:

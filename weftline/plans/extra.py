@@ -126,6 +126,11 @@ def evidence(events: DataFrame, reasoning: DataFrame, cap: int) -> DataFrame:
     return t.select("piece_id", F.when(F.length("t") > cap, short).otherwise(F.col("t")).alias("evidence"))
 
 
+def _before(links: DataFrame) -> DataFrame:
+    """(piece_id, before): the surest of the pieces that each piece takes up, at a tie the larger name."""
+    return links.groupBy(F.col("b").alias("piece_id")).agg(F.max(F.struct("confidence", "a")).alias("m")).select("piece_id", F.col("m.a").alias("before"))
+
+
 def label_inheritance(spark: SparkSession, d: str) -> DataFrame:
     """Work types of pieces, short follow-ups taking the type of the piece they take up, along chains of any length."""
     from weftline.operators.worktypes import LOW
@@ -133,7 +138,7 @@ def label_inheritance(spark: SparkSession, d: str) -> DataFrame:
     from weftline.plans.work import continuations
 
     own = written(work_types(spark, d))
-    up = written(continuations(spark, d).join(own.where((F.col("work_type").isin("other", "follow_up")) | (F.col("confidence") < LOW)).select("piece_id"), "piece_id", "left_semi").select("piece_id", "before"))
+    up = written(_before(continuations(spark, d)).join(own.where((F.col("work_type").isin("other", "follow_up")) | (F.col("confidence") < LOW)).select("piece_id"), "piece_id", "left_semi").select("piece_id", "before"))
     state = written(own.join(up, "piece_id", "left").select("piece_id", "work_type", F.coalesce("before", "piece_id").alias("at"), F.lit(0).cast("bigint").alias("steps")))
     while True:  # pointer doubling; chains end at a piece with a type or without one before it
         nxt = state.select(F.col("piece_id").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("more"))

@@ -136,7 +136,7 @@ def second_reads(spark: SparkSession, d: str) -> DataFrame:
 
 def governed_by(spark: SparkSession, d: str) -> DataFrame:
     """The standing rule that governs each piece: the last one stated before it in its session."""
-    p = pieces.with_piece(_events(spark, d))
+    p = written(pieces.with_piece(written(_events(spark, d))))
     start = p.groupBy("session", "piece_id").agg(F.min("i").alias("first_i"))
     rule = S.judgments(p.select(*E.COLUMNS)).where("signal = 'explicit_rule'").select("session", F.col("i").alias("at"), "signal_id")
     both = start.select("session", F.col("first_i").alias("at"), "piece_id", F.lit(None).cast("string").alias("signal_id"), F.lit(0).alias("o")).unionByName(rule.select("session", "at", F.lit(None).cast("string").alias("piece_id"), "signal_id", F.lit(1).alias("o")))
@@ -148,7 +148,7 @@ def governed_by(spark: SparkSession, d: str) -> DataFrame:
 
 def signals_in_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The piece that owns each signal."""
-    p = pieces.with_piece(_events(spark, d))
+    p = written(pieces.with_piece(written(_events(spark, d))))
     return S.judgments(p.select(*E.COLUMNS)).select("session", "i", "signal").join(p.select("session", "i", "piece_id"), ["session", "i"])
 
 
@@ -217,7 +217,7 @@ def links_of_pieces(spark: SparkSession, d: str, most: int = 20) -> DataFrame:
 
 def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     """An identity for every piece that outlives a re-cut: the hash of its session and opening event, with an epoch for equal openings."""
-    p = pieces.with_piece(_events(spark, d))
+    p = written(pieces.with_piece(written(_events(spark, d))))
     o = p.groupBy("session", "piece").agg(F.min("i").alias("i"), F.min_by(F.concat_ws("|", "kind", F.coalesce("text", "target", F.lit(""))), "i").alias("opening"))
     key = F.substring(F.sha2(F.concat_ws("|", "session", "opening"), 256), 1, 12)
     e = o.withColumn("key", key).withColumn("epoch", F.row_number().over(W.partitionBy("session", "key").orderBy("i")) - 1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from weftline.functions import phrases as P
 from weftline.operators import events as E
 from weftline.operators import graph, measures, pieces
 from weftline.operators import steps as S
@@ -100,7 +101,7 @@ def piece_links(spark: SparkSession, d: str) -> DataFrame:
 def workstreams(spark: SparkSession, d: str) -> DataFrame:
     """Pieces joined by sure links: one row per component with its size, sessions, span and weakest link."""
     objs = written(pieces.objects(_events(spark, d)))
-    sure = written(pieces.links(objs).where("confidence >= 0.7"))
+    sure = written(pieces.links(objs).where(F.col("confidence") >= pieces.JOIN))
     c = graph.connected_components(sure)
     start = objs.select("piece_id", "session", "start").distinct()
     weak = sure.join(c, F.col("a") == F.col("node")).groupBy("component").agg(F.min("confidence").alias("weakest"), F.count("*").alias("links"))
@@ -114,18 +115,67 @@ def best_parents(spark: SparkSession, d: str) -> DataFrame:
     return piece_links(spark, d).withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("b").alias("piece_id"), F.col("a").alias("parent"), "relationship", "confidence")
 
 
-def continuations(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces whose ask takes up the piece before it in the session: short asks, or asks of similar words (cosine of their term weights)."""
-    p = written(pieces.pieces(_events(spark, d)).where("ask is not null"))
+def _vectors(p: DataFrame) -> DataFrame:
+    """(doc, term, x): term weights of the asks of pieces, of length one."""
     v = written(pieces.term_weights(p.select(F.col("piece_id").alias("doc"), F.col("ask").alias("text"))))
     norm = v.groupBy("doc").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    w = W.partitionBy("session").orderBy("piece")
-    pair = p.withColumn("before", F.lag("piece_id").over(w)).where("before is not null").select("piece_id", "before", "ask")
-    dot = pair.join(v.select(F.col("doc").alias("piece_id"), "term", F.col("weight").alias("x")), "piece_id").join(v.select(F.col("doc").alias("before"), "term", F.col("weight").alias("y")), ["before", "term"]).groupBy("piece_id", "before").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    both = pair.join(dot, ["piece_id", "before"], "left").join(norm.select(F.col("doc").alias("piece_id"), F.col("norm").alias("n1")), "piece_id", "left").join(norm.select(F.col("doc").alias("before"), F.col("norm").alias("n2")), "before", "left")
-    cos = F.coalesce(F.col("dot") / (F.col("n1") * F.col("n2")), F.lit(0.0))
-    short = F.length("ask") < 60
-    return both.where(short | (cos >= 0.3)).select("piece_id", "before", F.when(short, "short").otherwise("similar").alias("reason"))
+    return v.join(norm, "doc").select("doc", "term", (F.col("weight") / F.col("norm")).alias("x"))
+
+
+def _cosines(pairs: DataFrame, v: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with s, the cosine of their asks."""
+    dot = pairs.select("a", "b").distinct().join(v.select(F.col("doc").alias("a"), "term", "x"), "a").join(v.select(F.col("doc").alias("b"), "term", F.col("x").alias("y")), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    return pairs.join(dot, ["a", "b"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+
+
+# Asks that take up what was before, and asks that say they continue other work.
+REFERS = P.opening("yes; yep; ok; okay; do it; go; go ahead; continue; proceed; ship it; merge; merge it; next; keep going; and; also; now")
+CONTINUES = P.words("continued from a previous conversation; continue where; continue from; continue the; continue with; continue working; picking up where; picking up from; picking up the; pick up where; pick up from; pick up the; resume; carry on; follow up on; follow-up on; follow up to; follow-up to; as discussed earlier; as discussed before; as planned earlier; as planned before; last session; previous session; yesterday's; since last week; again")
+
+
+def continuation_links(events: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b, relationship, confidence): asks that take up an earlier piece.
+
+    The piece before in the session, for an ask that is short or refers back (0.8), or that is similar (0.6 and more by
+    its cosine). For an ask that says it continues earlier work, the most similar piece of another session of the
+    repository in the seven days before, a day's nearness counting a tenth: 0.78, or 0.62 if it is hardly similar.
+    """
+    p = written(pieces.pieces(events).where("ask is not null").join(facts.select("session", "repo"), "session", "left").select("session", "piece", "piece_id", "start", "ask", "repo"))
+    v = _vectors(p)
+    before = p.withColumn("a", F.lag("piece_id").over(W.partitionBy("session").orderBy("piece"))).where("a is not null")
+    near = _cosines(before.select("a", F.col("piece_id").alias("b"), "ask"), v)
+    refers = F.col("ask").rlike(REFERS) | (F.length("ask") < 60)
+    same = near.where(refers | (F.col("s") >= 0.3)).select("a", "b", F.when(refers, 0.8).otherwise(0.6 + F.least(F.lit(0.25), F.col("s") / 2)).alias("confidence"))
+    say = p.where(F.col("ask").rlike(CONTINUES) & F.col("repo").isNotNull()).select(F.col("piece_id").alias("b"), F.col("session").alias("sb"), F.col("start").alias("tb"), "repo")
+    week = F.floor(F.unix_timestamp("tb") / 604800)
+    say = say.withColumn("week", F.explode(F.array(week - 1, week)))
+    earlier = p.where("repo is not null").select(F.col("piece_id").alias("a"), F.col("session").alias("sa"), F.col("start").alias("ta"), "repo", F.floor(F.unix_timestamp("start") / 604800).alias("week"))
+    gap = F.unix_timestamp("tb") - F.unix_timestamp("ta")
+    pair = say.join(earlier, ["repo", "week"]).where((F.col("sa") != F.col("sb")) & (gap > 0) & (gap < 7 * 86400))
+    scored = _cosines(pair.select("a", "b", "ta", gap.alias("gap")), v).withColumn("s", F.round(F.col("s") + F.when(F.col("gap") < 86400, 0.1).otherwise(0.0), 9)).where("s > 0")
+    best = scored.groupBy("b").agg(F.max(F.struct("s", "ta", "a")).alias("m"))
+    cross = best.select(F.col("m.a").alias("a"), "b", F.when(F.col("m.s") >= 0.25, 0.78).otherwise(0.62).alias("confidence"))
+    return same.unionByName(cross).select("a", "b", F.lit("continues").alias("relationship"), "confidence")
+
+
+def continuations(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces whose ask takes up an earlier piece, of their session or of another."""
+    claude = table(spark, d, "claude")
+    from weftline.operators.ledger import sessions
+
+    return continuation_links(E.chat_events(claude), sessions(claude)).select("a", "b", F.round("confidence", 6).alias("confidence"))
+
+
+def _decisions(lk: DataFrame) -> DataFrame:
+    """Stands for a person's decisions: pairs by a hash of their names, an eighth apart and an eighth the same effort."""
+    h = F.substring(F.sha2(F.concat_ws("|", "a", "b"), 256), 1, 1)
+    return lk.select("a", "b", F.when(h.isin("0", "1"), "unrelated").when(h.isin("2", "3"), "same_effort").alias("decision")).where("decision is not null").distinct()
+
+
+def decided_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links of pieces after a person's decisions."""
+    lk = written(pieces.links(pieces.objects(_events(spark, d))))
+    return pieces.merged_links(lk.select("a", "b", "relationship", "confidence"), _decisions(lk))
 
 
 def top_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -169,24 +219,31 @@ def upload_bins(spark: SparkSession, d: str, most: int = 200) -> DataFrame:
 
 NAMES = (
     threads, thread_spans, goals, goal_backtracks, receipts, overall_confidence, review_queue, area_segments, objects_touched, rare_objects, piece_links, workstreams, best_parents,
-    continuations, top_terms, filter_goals, positional_zip, lane_packing, upload_bins,
+    continuations, decided_links, top_terms, filter_goals, positional_zip, lane_packing, upload_bins,
 )
 QUERIES = {f.__name__: f for f in NAMES}
 
 _Q = lambda s: "'" + s.replace("'", "''") + "'"
 _PIECE = _WITH + f""", pc AS (SELECT *, session || ':' || piece AS piece_id FROM (SELECT *, CAST(sum(CASE WHEN kind = 'ask' AND NOT regexp_matches(text, '{E.CONTINUE}') THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY i) AS BIGINT) AS piece FROM ev)),
  pieces AS (SELECT session, piece, piece_id, min(ts) AS start, arg_min(text, i) FILTER (kind = 'ask' AND NOT regexp_matches(text, '{E.CONTINUE}')) AS ask FROM pc GROUP BY session, piece, piece_id)"""
-_OBJ = _PIECE + f""", calls AS (SELECT * FROM pc WHERE kind = 'tool'), ob0 AS (
- SELECT piece_id, session, 'ticket' AS type, target AS id FROM calls WHERE regexp_matches(target, {_Q(pieces.TICKET)}) UNION
- SELECT piece_id, session, 'file', target FROM calls WHERE regexp_matches(target, {_Q(pieces.FILE)}) AND NOT regexp_matches(target, 'package(-lock)?\\.json$') UNION
- SELECT piece_id, session, 'branch', regexp_extract(target, {_Q(pieces.BRANCH)}, 1) FROM calls WHERE regexp_extract(target, {_Q(pieces.BRANCH)}, 1) <> '' UNION
- SELECT piece_id, session, 'pr', regexp_extract(target, '(?:pull/|PR #|gh (?:pr|run) view )([0-9]{{1,7}})', 1) FROM calls WHERE regexp_extract(target, '(?:pull/|PR #|gh (?:pr|run) view )([0-9]{{1,7}})', 1) <> ''),
- ob AS (SELECT ob0.*, p.start FROM ob0 JOIN pieces p USING (piece_id)),
+_all = lambda rel, c, p: f"SELECT piece_id, session, unnest(regexp_extract_all({c}, {_Q(p)}, 1)) AS id FROM {rel}"
+_OBJ = _PIECE + f""", calls AS (SELECT *, CASE WHEN kind = 'tool' THEN nullif(regexp_extract(concat_ws(' ', target, CASE WHEN NOT err THEN out END), '(?:pull/|PR #|#)([0-9]{{1,6}})', 1), '') END AS named_pr FROM pc WHERE kind = 'tool'), asks AS (SELECT piece_id, session, text FROM pc WHERE kind = 'ask'), said AS (SELECT * FROM asks UNION ALL SELECT piece_id, session, target FROM calls),
+ npr AS (SELECT DISTINCT * FROM ({_all("said", "text", pieces.NAMED_PR)})), ob0 AS (
+ SELECT piece_id, session, 'file' AS type, target AS id, false AS produced FROM calls WHERE regexp_matches(target, {_Q(pieces.FILE)}) AND NOT regexp_matches(target, {_Q(pieces.NO_FILES)}) UNION ALL
+ SELECT piece_id, session, 'pr', id, false FROM npr WHERE piece_id IN (SELECT piece_id FROM npr GROUP BY piece_id HAVING count(*) <= {pieces.MOST_NAMED}) UNION ALL
+ SELECT piece_id, session, 'pr', named_pr, true FROM calls WHERE named_pr IS NOT NULL AND regexp_matches(lower(target), 'gh pr create|git push') UNION ALL
+ SELECT piece_id, session, 'branch', id, false FROM ({_all("calls", "target", pieces.BRANCH)}) WHERE id NOT IN ({", ".join(map(_Q, pieces.COMMON_BRANCHES))}) UNION ALL
+ SELECT piece_id, session, 'ticket', id, false FROM ({_all("asks", "text", pieces.NAMED_TICKET)}) WHERE NOT regexp_matches(id, {_Q(pieces.NO_TICKETS)}) UNION ALL
+ SELECT piece_id, session, 'ticket', target, false FROM calls WHERE regexp_matches(target, {_Q(pieces.TICKET)}) UNION ALL
+ SELECT piece_id, session, 'id', id, false FROM ({_all("asks", "lower(text)", pieces.NAMED_ID)})),
+ ob AS (SELECT o.*, p.start FROM (SELECT piece_id, session, type, id, bool_or(produced) AS produced FROM ob0 GROUP BY ALL) o JOIN pieces p USING (piece_id)),
  rare AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY type, id) AS n FROM ob) WHERE n > 1 AND n <= CASE type WHEN 'file' THEN 6 ELSE 25 END)"""
-_LINK = _OBJ + """, pr0 AS (SELECT *, lag(piece_id) OVER w AS a, lag(start) OVER w AS before FROM rare WINDOW w AS (PARTITION BY type, id ORDER BY start, piece_id)),
- e0 AS (SELECT a, piece_id AS b, type, CASE type WHEN 'pr' THEN 0.74::DOUBLE WHEN 'file' THEN 0.55::DOUBLE + 0.25::DOUBLE / n ELSE 0.85::DOUBLE END AS c FROM pr0 WHERE a IS NOT NULL AND epoch(date_trunc('second', start)) - epoch(date_trunc('second', before)) < CASE type WHEN 'file' THEN 21 ELSE 4 END * 86400),
- lk AS (SELECT a, b, 'same_' || type AS relationship, CASE WHEN files >= 2 AND type = 'file' THEN least(0.88::DOUBLE, 0.7::DOUBLE + 0.06::DOUBLE * files) ELSE c END AS confidence FROM
-  (SELECT a, b, max(c) AS c, max(struct_pack(c := c, type := type)).type AS type, count(*) FILTER (type = 'file') AS files FROM e0 GROUP BY a, b))"""
+_LINK = _OBJ + """, pr0 AS (SELECT *, lag(piece_id) OVER w AS a, lag(start) OVER w AS before, type = 'pr' AND (produced OR lag(produced) OVER w) AS made FROM rare WINDOW w AS (PARTITION BY type, id ORDER BY start, piece_id)),
+ e0 AS (SELECT a, piece_id AS b, type, max(CASE WHEN made THEN 0.92::DOUBLE WHEN type = 'pr' THEN 0.74::DOUBLE WHEN type = 'file' THEN 0.55::DOUBLE + 0.25::DOUBLE / n WHEN type = 'id' THEN 0.9::DOUBLE ELSE 0.85::DOUBLE END) AS c FROM pr0
+  WHERE a IS NOT NULL AND epoch(date_trunc('second', start)) - epoch(date_trunc('second', before)) < CASE WHEN made THEN 10 WHEN type = 'file' THEN 21 ELSE 4 END * 86400 GROUP BY ALL),
+ sh AS (SELECT e.a, e.b, count(*) AS shared FROM e0 e JOIN rare x ON x.type = 'file' AND x.piece_id = e.a JOIN rare y ON y.type = 'file' AND y.piece_id = e.b AND y.id = x.id WHERE e.type = 'file' GROUP BY ALL),
+ sl AS (SELECT a, b, 'same_' || type AS relationship, CASE WHEN type = 'file' AND shared >= 2 THEN least(0.88::DOUBLE, 0.7::DOUBLE + 0.06::DOUBLE * shared) ELSE c END AS confidence FROM e0 LEFT JOIN sh USING (a, b)),
+ lk AS (SELECT a, b, t.r AS relationship, t.c AS confidence, array_to_string(list_filter(l, lambda x: x <> t.r), ',') AS also FROM (SELECT a, b, max(struct_pack(c := confidence, r := relationship)) AS t, list_sort(list(DISTINCT relationship)) AS l FROM sl GROUP BY a, b))"""
 _TOK = lambda c: f"list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(lower({c}), 'https?://[^ ]+', ' ', 'g'), '[^a-z0-9#._/-]+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '^[._/-]+|[._/-]+$', '', 'g')), lambda w: length(w) > 2 AND NOT list_contains([{', '.join(_Q(w) for w in __import__('weftline.functions.text', fromlist=['STOPWORDS']).STOPWORDS)}], w) AND NOT regexp_matches(w, '^[0-9]+$'))"
 
 SQL = {
@@ -194,6 +251,7 @@ SQL = {
     "objects_touched": _OBJ + "SELECT piece_id, type, id FROM ob",
     "rare_objects": _OBJ + "SELECT piece_id, type, id, n FROM rare",
     "piece_links": _LINK + "SELECT * FROM lk",
+    "decided_links": _LINK + """, dc AS (SELECT a, b, CASE WHEN h IN ('0', '1') THEN 'unrelated' WHEN h IN ('2', '3') THEN 'same_effort' END AS decision FROM (SELECT a, b, left(sha256(a || '|' || b), 1) AS h FROM lk)) SELECT a, b, CASE WHEN decision = 'same_effort' THEN 'confirmed' ELSE relationship END AS relationship, CASE WHEN decision = 'same_effort' THEN 1.0::DOUBLE ELSE confidence END AS confidence, '' AS also FROM lk JOIN dc USING (a, b) WHERE decision IS NULL OR decision <> 'unrelated'""",
     "best_parents": _LINK + "SELECT b AS piece_id, a AS parent, relationship, confidence FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY confidence DESC, a) AS k FROM lk) WHERE k = 1",
     "workstreams": (_LINK + """, sure AS MATERIALIZED (SELECT * FROM lk WHERE confidence >= 0.7), ways AS MATERIALIZED (SELECT a AS node, b AS other FROM sure UNION SELECT b, a FROM sure),
         reach AS (SELECT node, node AS seen FROM ways UNION SELECT r.node, e.other FROM reach r JOIN ways e ON e.node = r.seen), comp AS MATERIALIZED (SELECT node, min(seen) AS component FROM reach GROUP BY node),
@@ -202,10 +260,14 @@ SQL = {
         (SELECT component, count(DISTINCT node) AS pieces, count(DISTINCT session) AS sessions, min(start) AS first_at, max(start) AS last_at FROM comp JOIN st ON st.piece_id = comp.node GROUP BY component) m JOIN
         (SELECT component, min(confidence) AS weakest, count(*) AS links FROM sure JOIN comp ON comp.node = sure.a GROUP BY component) w USING (component)""").replace("WITH\n", "WITH RECURSIVE\n", 1),
     "top_terms": _WITH + f", dc AS (SELECT session AS doc, string_agg(text, ' ' ORDER BY i) AS text FROM ev WHERE kind = 'ask' GROUP BY session), t AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest({_TOK('text')}) AS term FROM dc) GROUP BY doc, term), f AS (SELECT term, count(*) AS df FROM t GROUP BY term), v AS (SELECT doc, term, tf, df, (1 + ln(tf)) * ln(((SELECT count(*) FROM dc) + 1) / (df + 0.5)) AS weight FROM t JOIN f USING (term)) SELECT doc, term, tf, df FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY weight DESC, term) AS k FROM v) WHERE k <= 3",
-    "continuations": _PIECE + f""", p AS (SELECT * FROM pieces WHERE ask IS NOT NULL), t AS (SELECT doc, term, count(*) AS tf FROM (SELECT piece_id AS doc, unnest({_TOK('ask')}) AS term FROM p) GROUP BY doc, term), f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
-        v AS (SELECT doc, term, (1 + ln(tf)) * ln(((SELECT count(*) FROM p) + 1) / (df + 0.5)) AS weight FROM t JOIN f USING (term)), nm AS (SELECT doc, sqrt(sum(weight * weight)) AS norm FROM v GROUP BY doc),
-        pair AS (SELECT * FROM (SELECT piece_id, ask, lag(piece_id) OVER (PARTITION BY session ORDER BY piece) AS before FROM p) WHERE before IS NOT NULL),
-        dt AS (SELECT pair.piece_id, sum(x.weight * y.weight) AS dot FROM pair JOIN v x ON x.doc = pair.piece_id JOIN v y ON y.doc = pair.before AND y.term = x.term GROUP BY pair.piece_id)
-        SELECT pair.piece_id, before, CASE WHEN length(ask) < 60 THEN 'short' ELSE 'similar' END AS reason FROM pair LEFT JOIN dt USING (piece_id) LEFT JOIN nm a ON a.doc = pair.piece_id LEFT JOIN nm b ON b.doc = pair.before WHERE length(ask) < 60 OR coalesce(dot / (a.norm * b.norm), 0) >= 0.3""",
+    "continuations": _PIECE + f""", rp AS (SELECT session, nullif(regexp_extract(regexp_replace(regexp_replace(max(struct_pack(n := n, v := v)).v, '/\\.(claude|codex|cursor)/worktrees/[^/]+.*$', ''), '/worktrees/[^/]+$', ''), '([^/]*)$', 1), '') AS repo FROM (SELECT sessionId AS session, cwd AS v, count(*) AS n FROM claude WHERE sessionId IS NOT NULL AND cwd IS NOT NULL GROUP BY ALL) GROUP BY session),
+        p AS (SELECT pieces.*, repo FROM pieces LEFT JOIN rp USING (session) WHERE ask IS NOT NULL), t AS (SELECT doc, term, count(*) AS tf FROM (SELECT piece_id AS doc, unnest({_TOK('ask')}) AS term FROM p) GROUP BY doc, term), f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+        v0 AS (SELECT doc, term, (1 + ln(tf)) * ln(((SELECT count(*) FROM p) + 1) / (df + 0.5)) AS weight FROM t JOIN f USING (term)), v AS (SELECT doc, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc)) AS x FROM v0),
+        bf AS (SELECT * FROM (SELECT piece_id AS b, ask, lag(piece_id) OVER (PARTITION BY session ORDER BY piece) AS a FROM p) WHERE a IS NOT NULL),
+        xs AS (SELECT y.piece_id AS b, x.piece_id AS a, x.start AS ta, epoch(date_trunc('second', y.start)) - epoch(date_trunc('second', x.start)) AS gap FROM p y JOIN p x ON x.repo = y.repo AND x.session <> y.session WHERE regexp_matches(y.ask, {_Q(CONTINUES)}) AND epoch(date_trunc('second', y.start)) - epoch(date_trunc('second', x.start)) > 0 AND epoch(date_trunc('second', y.start)) - epoch(date_trunc('second', x.start)) < 604800),
+        pr AS (SELECT a, b FROM bf UNION SELECT a, b FROM xs), co AS (SELECT pr.a, pr.b, sum(m.x * n.x) AS s FROM pr JOIN v m ON m.doc = pr.a JOIN v n ON n.doc = pr.b AND n.term = m.term GROUP BY ALL),
+        sm AS (SELECT a, b, regexp_matches(ask, {_Q(REFERS)}) OR length(ask) < 60 AS refers, coalesce(s, 0) AS s FROM bf LEFT JOIN co USING (a, b)),
+        bs AS (SELECT b, max(struct_pack(s := s, ta := ta, a := a)) AS m FROM (SELECT xs.*, round(coalesce(co.s, 0) + CASE WHEN gap < 86400 THEN 0.1 ELSE 0 END, 9) AS s FROM xs LEFT JOIN co USING (a, b)) WHERE s > 0 GROUP BY b)
+        SELECT a, b, round(CASE WHEN refers THEN 0.8::DOUBLE ELSE 0.6::DOUBLE + least(0.25, s / 2) END, 6) AS confidence FROM sm WHERE refers OR s >= 0.3 UNION ALL SELECT m.a, b, CASE WHEN m.s >= 0.25 THEN 0.78::DOUBLE ELSE 0.62::DOUBLE END FROM bs""",
     "positional_zip": _WITH + ", cl AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY row_id, pos) AS n, b.id AS call_id FROM block WHERE b.type = 'tool_use'), rs AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY row_id, pos) AS n, b.tool_use_id AS result_id FROM block WHERE b.type = 'tool_result') SELECT session, count(*) AS pairs, count(*) FILTER (call_id = result_id) AS same FROM cl FULL JOIN rs USING (session, n) GROUP BY session",
 }
