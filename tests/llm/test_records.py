@@ -58,6 +58,33 @@ def test_one_run_over_many_chunks(spark):
     assert [(x.first_id, x.last_id, x.n, x.last_ms - x.first_ms) for x in got] == [("c000", "c199", 200, 199)]
 
 
+@pytest.mark.parametrize("tolerance", [0.0, 0.4])
+@pytest.mark.parametrize("gap", [None, 90_000_000])
+def test_similar_runs(spark, tolerance, gap):
+    """Every event against the anchor of the open run, as one stream does it; over many days, so over many cuts."""
+    r, rows = random.Random(5), []
+    for i in range(500):
+        words = r.choice([[1, 2, 3], [1, 2, 3], [1, 2, 4], [1, 5, 6], [], None])
+        rows.append((r.choice(["hot"] * 5 + ["b", None]), r.choice(["read", "read", "read", "edit", None]), words, f"c{i}", r.randint(0, 40) * 20_000_000, i % 2, i, "clash"))
+    want, by = [], defaultdict(list)
+    for e, hard, words, ident, ms, place, tie, _ in rows:
+        if e is not None:
+            by[e].append((ms, tie, place, hard, frozenset(words or ()), ident))
+    for e, xs in by.items():
+        cur = None
+        for ms, _, _, hard, words, ident in sorted(xs, key=lambda x: x[:3]):
+            if cur and hard is not None and hard == cur[0] and (gap is None or ms - cur[5] <= gap) and len(words & cur[1]) >= (1 - tolerance) * len(words | cur[1]):
+                cur[3], cur[4], cur[5] = ident, cur[4] + 1, ms
+                continue
+            want += [(e, *cur[2:5])] if cur and cur[0] is not None and cur[4] > 1 else []
+            cur = [hard, words, ident, ident, 1, ms]
+        want += [(e, *cur[2:5])] if cur and cur[0] is not None and cur[4] > 1 else []
+    df = spark.createDataFrame(rows, "entity string, hard string, words array<bigint>, ident string, ms long, place int, tie long, n string")
+    got = sorted((x.entity, x.first_id, x.last_id, x.n) for x in runs.similar_runs(df, tolerance, gap).collect())
+    assert got == sorted(want)
+    assert runs.similar_runs(df.where("false"), tolerance, gap).count() == 0
+
+
 def test_input_signature(spark):
     sig = lambda *t: [r.x for r in spark.createDataFrame([(x,) for x in t], "t string").select(runs.input_signature(F.col("t")).alias("x")).collect()]
     a = sig('{"command": "git log --since 2026-02-17T19:34:29Z -- a.py", "timeout": 10}', '{ "timeout":999, "command":"git log  --since 2026-08-19T22:14:46Z -- a.py" }')

@@ -52,6 +52,12 @@ def p4_runs(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("entity").alias("session_id"), F.col("first_id").alias("first_call_id"), F.col("n").alias("n_calls"), (F.col("last_ms") - F.col("first_ms")).alias("duration_ms"))
 
 
+def p4_similar(spark: SparkSession, d: str, tolerance: float = 0.34, max_gap_ms: int = 3_600_000) -> DataFrame:
+    """Runs of calls that are nearly the same: a third of the words may differ, and no pause is longer than an hour."""
+    found = runs.similar_runs(runs.call_events(table(spark, d, "claude"), table(spark, d, "machines"), words=True), tolerance, max_gap_ms)
+    return found.select(F.col("entity").alias("session_id"), F.col("first_id").alias("first_call_id"), F.col("n").alias("n_calls"), (F.col("last_ms") - F.col("first_ms")).alias("duration_ms"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     machines = table(spark, d, "machines")
     judgment = conversations.judgment_records(table(spark, d, "claude_judgment"), machines)
@@ -99,7 +105,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(table(spark, d, "documents"), _subjects(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_reliability, p2_agreement, p3_found, p3_splits, p4_found, p4_runs, p7_found, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_reliability, p2_agreement, p3_found, p3_splits, p4_found, p4_runs, p4_similar, p7_found, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_composition)}
 
 _CODE = {f: "CASE " + " ".join(f"WHEN w_{f} = '{w}' THEN {i}" for i, w in enumerate(words)) + "".join(f" WHEN w_{f} = '{a}' THEN {words.index(b)}" for a, b in consensus.SYNONYMS[f].items()) + " END" for f, words in consensus.CODEBOOK.items()}
 _WORD = ", ".join(f"regexp_replace(lower(trim({f})), '[\\s-]+', '_', 'g') AS w_{f}" for f in consensus.CODEBOOK)

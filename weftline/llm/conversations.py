@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 
 from weftline.llm.records import has_text, ordered_chunks, plain_session, role_of
 from weftline.operators.instants import to_instants
-from weftline.operators.stage import salted_left_join, written
+from weftline.operators.stage import running, salted_left_join, written
 from weftline.plans.instants import session_machines
 
 PIECE = "session string, key string, record string, parent string, ms bigint, role string, spoken boolean, fragment string, place bigint"
@@ -100,9 +100,9 @@ def assemble(records: DataFrame, chunks: int | None = None) -> DataFrame:
     f = fragments.join(paths, "fragment")
     start = f.where("depth = 0").select(F.col("fragment").alias("path"), F.col("ms").alias("path_ms"))
     f = f.join(start, "path", "left")
-    order = F.struct(F.coalesce("path_ms", "ms").alias("a"), F.col("path").alias("b"), F.col("depth").alias("c"))
-    win = W.partitionBy("session").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    f = written(f.withColumn("before", F.coalesce(F.sum("turns").over(win), F.lit(0))).withColumn("order", order))
+    order = F.struct(F.coalesce("path_ms", "ms", F.lit(0).cast("bigint")).alias("a"), F.col("path").alias("b"), F.col("depth").alias("c"))
+    f = f.withColumn("at", F.coalesce("path_ms", "ms", F.lit(0).cast("bigint")))
+    f = written(running(f, "session", "at", ["at", "path", "depth"], sums={"before": F.col("turns")}, before=True, width=86_400_000).withColumn("order", order))
     spoke = F.col("turns") > 0
     kept = f.groupBy("session").agg(
         F.sum("turns").alias("turns"), F.sum("unreadable").alias("unreadable"),
