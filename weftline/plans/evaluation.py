@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftline.functions.text import SECRETS, entropy, redact
+from weftline.functions.text import entropy
 from weftline.operators import events as E
 from weftline.operators import measures as M
 from weftline.operators import steps as S
+from weftline.operators.secrets import secrets_in
 from weftline.plans.sessions import _MV, _WITH, session_counters
 from weftline.sources.tables import table
 
@@ -98,28 +99,63 @@ def _session_values(spark: SparkSession, d: str) -> DataFrame:
     return c.join(repo, "session")
 
 
-CUT = "2026-03-01 00:00:00"
+def adoptions(s: DataFrame) -> DataFrame:
+    """(repo, at): when a rule was adopted in a repository. The log names no adoption, so the start of the session in the
+    middle of each repository's stands for it; a table of adoptions takes its place where there is one."""
+    w = W.partitionBy("repo").orderBy("start", "session")
+    n = s.where("start is not null").withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy("repo")))
+    return n.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select("repo", F.col("start").alias("at"))
+
+
+def _usual(df: DataFrame, keys: list[str], c: str, name: str) -> DataFrame:
+    """The most frequent value of ``c`` per key, at a tie the largest."""
+    n = df.groupBy(*keys, c).agg(F.count("*").alias("_n"))
+    return n.groupBy(*keys).agg(F.max_by(c, F.struct("_n", c)).alias(name))
 
 
 def adoption_effect(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions that met a wall before and after a rule was adopted, per repository; confounded where the usual mode changed, too."""
-    s = _session_values(spark, d).withColumn("after", F.col("start") >= F.lit(CUT).cast("timestamp"))
-    mode = s.where("mode is not null").groupBy("repo", "after", "mode").agg(F.count("*").alias("n"))
-    usual = mode.groupBy("repo", "after").agg(F.max_by("mode", F.struct("n", "mode")).alias("usual"))
-    side = s.groupBy("repo", "after").agg(F.count("*").alias("n"), F.count_if(F.col("errs") > 0).alias("hit")).join(usual, ["repo", "after"], "left")
-    pick = lambda c, a: F.max(F.when(F.col("after") == a, F.col(c)))
-    w = side.groupBy("repo").agg(*[pick(c, a).alias(f"{c}_{'after' if a else 'before'}") for c in ("n", "hit", "usual") for a in (False, True)])
-    return w.select(
-        "repo", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"), F.coalesce("hit_before", F.lit(0)).alias("hit_before"), F.coalesce("hit_after", F.lit(0)).alias("hit_after"),
-        F.coalesce(F.col("usual_before") != F.col("usual_after"), F.lit(False)).alias("confounded"), ((F.coalesce("n_before", F.lit(0)) >= 5) & (F.coalesce("n_after", F.lit(0)) >= 5)).alias("enough"),
+    """Sessions that met a failure before and after a rule was adopted in their repository, in the mode that was usual
+    among those that met one before; confounded if another mode is usual after and fewer than half of the sessions after compare."""
+    s = _session_values(spark, d).withColumn("mode", F.coalesce("mode", F.lit("unknown")))
+    j = s.join(adoptions(s), "repo").withColumn("after", F.col("start") >= F.col("at")).withColumn("hit", F.col("errs") > 0)
+    before = j.where("not after")
+    usual = _usual(before.where("hit"), ["repo"], "mode", "mode_hit").join(_usual(before, ["repo"], "mode", "mode_all"), "repo", "full").select("repo", F.coalesce("mode_hit", "mode_all").alias("usual"))
+    late = _usual(j.where("after"), ["repo"], "mode", "mode_after")
+    k = j.join(usual, "repo").withColumn("same", F.col("mode") == F.col("usual"))
+    count = lambda c: F.count_if(c)
+    g = k.groupBy("repo").agg(
+        F.first("usual").alias("mode"), count(F.col("same") & ~F.col("after")).alias("n_before"), count(F.col("same") & ~F.col("after") & F.col("hit")).alias("hit_before"), count(F.col("same") & F.col("after")).alias("n_after"), count(F.col("same") & F.col("after") & F.col("hit")).alias("hit_after"), count(F.col("after")).alias("all_after"),
+    ).join(late, "repo", "left")
+    return g.select(
+        "repo", "mode", "mode_after", "n_before", "hit_before", "n_after", "hit_after", F.try_divide("hit_before", "n_before").alias("before_rate"), F.try_divide("hit_after", "n_after").alias("after_rate"),
+        ((F.col("all_after") > 0) & (F.col("mode_after") != F.col("mode")) & (F.col("n_after") < F.col("all_after") / 2)).alias("confounded"), ((F.col("n_before") >= 5) & (F.col("n_after") >= 5)).alias("enough"),
     )
 
 
+def _experiment_sessions(spark: SparkSession, d: str, days: int = 21) -> DataFrame:
+    """Sessions within ``days`` of an edit of their repository's instructions, by an interval join; in the mode that was usual before."""
+    s = _session_values(spark, d).withColumn("mode", F.coalesce("mode", F.lit("unknown")))
+    j = s.join(adoptions(s), "repo").withColumn("gap", F.unix_timestamp("start") - F.unix_timestamp("at")).where(F.abs("gap") < days * 86400).withColumn("after", F.col("gap") >= 0)
+    return j.join(_usual(j.where("not after"), ["repo"], "mode", "usual"), "repo").where(F.col("mode") == F.col("usual"))
+
+
+#: Measures of a session that an experiment compares, and whether less is better.
+METRICS = {"fail_share": ("try_divide(errs, calls)", True), "denied_share": ("try_divide(denied, calls)", True), "asks": ("cast(asks AS double)", True), "check_share": ("try_divide(checks, calls)", False)}
+
+
+def experiment_means(spark: SparkSession, d: str) -> DataFrame:
+    """Means of four measures before and after an edit of a repository's instructions."""
+    j = _experiment_sessions(spark, d)
+    long = j.select("repo", "after", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.expr(v).alias("value")) for k, (v, _) in METRICS.items()])).alias("m")).where("m.value is not null")
+    return long.groupBy("repo", "m.metric").agg(F.count_if(~F.col("after")).alias("n_before"), F.count_if("after").alias("n_after"), F.avg(F.when(~F.col("after"), F.col("m.value"))).alias("before"), F.avg(F.when(F.col("after"), F.col("m.value"))).alias("after"))
+
+
 def experiments(spark: SparkSession, d: str) -> DataFrame:
-    """Share of failed calls per session before and after the cut, with a seeded bootstrap interval, per repository."""
-    s = _session_values(spark, d)
-    v = s.select(F.col("repo").alias("grp"), (F.col("start") >= F.lit(CUT).cast("timestamp")).alias("after"), F.try_divide("errs", "calls").alias("value"))
-    return M.compare_groups(v)
+    """The same with a seeded bootstrap interval, and whether a detectable change is for the better."""
+    j = _experiment_sessions(spark, d)
+    long = j.select(F.explode(F.array(*[F.struct(F.concat_ws("/", "repo", F.lit(k)).alias("grp"), F.col("after").alias("after"), F.expr(v).alias("value")) for k, (v, _) in METRICS.items()])).alias("m")).select("m.*")
+    better = F.element_at(F.create_map(*[F.lit(x) for k, (_, less) in METRICS.items() for x in (k, less)]), F.substring_index("grp", "/", -1))
+    return M.compare_groups(long).withColumn("improved", F.col("detectable") & ((F.col("diff") < 0) == better))
 
 
 def edit_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -156,10 +192,10 @@ def latest_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redacted_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks in which a secret was replaced, by rule."""
-    b = table(spark, d, "claude").select("row_id", F.posexplode("message.content").alias("pos", "b")).select("row_id", "pos", F.coalesce("b.text", "b.content").alias("text")).where("text is not null")
-    r = b.withColumn("clean", redact(F.col("text"))).where("clean <> text")
-    return r.select("row_id", "pos", F.explode(F.array(*[F.lit(n) for n, _, _ in SECRETS])).alias("rule"), "clean").where(F.contains("clean", F.concat(F.lit("[redacted:"), F.col("rule"), F.lit("]")))).groupBy("rule").agg(F.count("*").alias("blocks"))
+    """Secrets in the blocks of the log, by rule: how many, and in how many blocks; texts, thoughts, inputs and results are read."""
+    b = table(spark, d, "claude").select("row_id", F.posexplode("message.content").alias("pos", "b"))
+    each = b.select(F.concat_ws(":", "row_id", "pos").alias("key"), F.explode(F.array("b.text", "b.thinking", "b.input", "b.content")).alias("text"))
+    return secrets_in(each.where("text is not null")).groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("key").alias("blocks"))
 
 
 def input_entropy(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +226,7 @@ def tree_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = (
-    majority_vote, confusion_matrix, precision_recall, self_consistency, abstain_curve, span_overlap, hash_split, round_robin_sample, median_profile, adoption_effect, experiments, edit_groups, changed_files, set_operations,
+    majority_vote, confusion_matrix, precision_recall, self_consistency, abstain_curve, span_overlap, hash_split, round_robin_sample, median_profile, adoption_effect, experiment_means, experiments, edit_groups, changed_files, set_operations,
     latest_snapshots, redacted_blocks, input_entropy, hashed_features, tree_scores,
 )
 QUERIES = {f.__name__: f for f in NAMES}
@@ -201,6 +237,7 @@ _CM = _V + ", cm AS (SELECT gold, status AS pred, count(*) AS n FROM v JOIN mj U
 from weftline.plans.sessions import _COUNTERS  # noqa: E402
 
 _SV = _WITH + f", {_MV}, {_COUNTERS}, rp AS (SELECT sessionId AS session, min(cwd) AS repo, arg_max(permissionMode, row_id) FILTER (permissionMode IS NOT NULL) AS mode FROM claude WHERE sessionId IS NOT NULL AND cwd IS NOT NULL GROUP BY 1), sv AS (SELECT sc.*, repo, mode FROM sc JOIN rp USING (session))"
+_AD = _SV + """, s AS (SELECT * REPLACE (coalesce(mode, 'unknown') AS mode) FROM sv), ad AS (SELECT repo, start AS adt FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY start, session) AS k, count(*) OVER (PARTITION BY repo) AS n FROM s WHERE start IS NOT NULL) WHERE k = n // 2 + 1)"""
 SQL = {
     "majority_vote": _V + "SELECT item_key, gold, agree, n FROM mj",
     "confusion_matrix": _CM + "SELECT * FROM cm",
@@ -211,9 +248,13 @@ SQL = {
     "hash_split": "SELECT DISTINCT sessionId AS session, CASE WHEN CAST('0x' || left(sha256(sessionId || '|weft'), 8) AS BIGINT) / 4294967296.0 < 0.35 THEN 'test' ELSE 'dev' END AS split FROM claude WHERE sessionId IS NOT NULL",
     "round_robin_sample": "WITH it AS (SELECT item_key, lower(trim(arg_min(origin, label_id))) AS stratum FROM gold_labels WHERE origin IS NOT NULL AND item_key IS NOT NULL GROUP BY item_key) SELECT item_key, stratum, turn FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256(item_key || '|11'), item_key) AS turn FROM it) ORDER BY turn, stratum LIMIT 40",
     "median_profile": _WITH + f", {_MV}, n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY i) - 1 AS k FROM mv), f AS (SELECT session, min(k) AS before FROM n WHERE lane = 'change' GROUP BY session), rp AS (SELECT sessionId AS session, min(cwd) AS repo FROM claude WHERE sessionId IS NOT NULL AND cwd IS NOT NULL GROUP BY 1) SELECT repo, count(*) AS sessions, list_sort(list(before))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median_before FROM f JOIN rp USING (session) GROUP BY repo",
-    "adoption_effect": _SV + f""", s AS (SELECT *, start >= TIMESTAMP '{CUT}' AS after FROM sv), us AS (SELECT repo, after, max(struct_pack(n := n, m := mode)).m AS usual FROM (SELECT repo, after, mode, count(*) AS n FROM s WHERE mode IS NOT NULL GROUP BY ALL) GROUP BY repo, after),
-        sd AS (SELECT repo, after, count(*) AS n, count(*) FILTER (errs > 0) AS hit FROM s GROUP BY ALL), w AS (SELECT repo, coalesce(max(n) FILTER (NOT after), 0) AS n_before, coalesce(max(n) FILTER (after), 0) AS n_after, coalesce(max(hit) FILTER (NOT after), 0) AS hit_before, coalesce(max(hit) FILTER (after), 0) AS hit_after, max(usual) FILTER (NOT after) AS ub, max(usual) FILTER (after) AS ua FROM sd LEFT JOIN us USING (repo, after) GROUP BY repo)
-        SELECT repo, n_before, n_after, hit_before, hit_after, coalesce(ub <> ua, false) AS confounded, n_before >= 5 AND n_after >= 5 AS enough FROM w""",
+    "adoption_effect": _AD + """, jj AS (SELECT s.*, adt, start >= adt AS after, errs > 0 AS hit FROM s JOIN ad USING (repo)), us AS (SELECT repo, coalesce(h.m, a.m) AS usual FROM (SELECT repo, max(struct_pack(n := n, m := mode)).m AS m FROM (SELECT repo, mode, count(*) AS n FROM jj WHERE NOT after AND hit GROUP BY ALL) GROUP BY repo) h FULL JOIN (SELECT repo, max(struct_pack(n := n, m := mode)).m AS m FROM (SELECT repo, mode, count(*) AS n FROM jj WHERE NOT after GROUP BY ALL) GROUP BY repo) a USING (repo)),
+        la AS (SELECT repo, max(struct_pack(n := n, m := mode)).m AS mode_after FROM (SELECT repo, mode, count(*) AS n FROM jj WHERE after GROUP BY ALL) GROUP BY repo),
+        g AS (SELECT repo, any_value(usual) AS mode, count(*) FILTER (mode = usual AND NOT after) AS n_before, count(*) FILTER (mode = usual AND NOT after AND hit) AS hit_before, count(*) FILTER (mode = usual AND after) AS n_after, count(*) FILTER (mode = usual AND after AND hit) AS hit_after, count(*) FILTER (after) AS all_after FROM jj JOIN us USING (repo) GROUP BY repo)
+        SELECT repo, mode, mode_after, n_before, hit_before, n_after, hit_after, hit_before / nullif(n_before, 0) AS before_rate, hit_after / nullif(n_after, 0) AS after_rate, all_after > 0 AND mode_after <> mode AND n_after < all_after / 2 AS confounded, n_before >= 5 AND n_after >= 5 AS enough FROM g LEFT JOIN la USING (repo)""",
+    "experiment_means": _AD + """, jj AS (SELECT * FROM (SELECT s.*, epoch(date_trunc('second', start)) - epoch(date_trunc('second', adt)) AS gap FROM s JOIN ad USING (repo)) WHERE abs(gap) < 21 * 86400), us AS (SELECT repo, max(struct_pack(n := n, m := mode)).m AS usual FROM (SELECT repo, mode, count(*) AS n FROM jj WHERE gap < 0 GROUP BY ALL) GROUP BY repo),
+        k AS (SELECT jj.*, gap >= 0 AS late FROM jj JOIN us USING (repo) WHERE mode = usual), l AS (SELECT repo, late, 'fail_share' AS metric, errs / nullif(calls, 0) AS v FROM k UNION ALL SELECT repo, late, 'denied_share', denied / nullif(calls, 0) FROM k UNION ALL SELECT repo, late, 'asks', asks::DOUBLE FROM k UNION ALL SELECT repo, late, 'check_share', checks / nullif(calls, 0) FROM k)
+        SELECT repo, metric, count(*) FILTER (NOT late) AS n_before, count(*) FILTER (late) AS n_after, avg(v) FILTER (NOT late) AS before, avg(v) FILTER (late) AS after FROM l WHERE v IS NOT NULL GROUP BY repo, metric""",
     "edit_groups": _SV + ", g AS (SELECT repo, session, start, lag(start) OVER (PARTITION BY repo ORDER BY start, session) AS p FROM sv), c AS (SELECT repo, CAST(sum(CASE WHEN p IS NULL OR epoch(date_trunc('second', start)) - epoch(date_trunc('second', p)) >= 3 * 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY repo ORDER BY start, session) AS BIGINT) AS chain FROM g) SELECT repo, chain, count(*) AS sessions FROM c GROUP BY ALL",
     "changed_files": "WITH f AS (SELECT feed, file_name, written_on, count(*) AS n_lines FROM raw_records WHERE raw IS NOT NULL GROUP BY ALL) SELECT feed, file_name, n_lines FROM (SELECT *, lag(n_lines) OVER (PARTITION BY feed ORDER BY written_on, file_name) AS before FROM f) WHERE before IS NULL OR before <> n_lines",
     "set_operations": _WITH + ", a AS (SELECT DISTINCT session FROM ev WHERE kind = 'tool'), b AS (SELECT DISTINCT session FROM ev WHERE kind = 'ask') SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)",

@@ -39,7 +39,7 @@ def live_blocks(records: DataFrame) -> DataFrame:
     main = records.where("sessionId is not null and message is not null and not coalesce(isSidechain, false)")
     b = main.select("uuid", F.col("sessionId").alias("session"), "row_id", F.unix_millis(F.col("ingested_at").cast("timestamp")).alias("ms"), F.col("message.role").alias("role"), F.posexplode("message.content").alias("pos", "b"))
     kind = F.when((F.col("b.type") == "text") & (F.col("role") == "user") & (F.trim("b.text") != ""), "ask").when(F.col("b.type") == "tool_use", "tool").when(F.col("b.type") == "tool_result", "result")
-    return b.withColumn("kind", kind).where("kind is not null").select("session", "uuid", "row_id", "pos", "ms", "kind", F.when(F.col("kind") == "ask", F.substring("b.text", 1, 600)).alias("text"), F.coalesce("b.id", "b.tool_use_id").alias("call_id"), F.coalesce("b.is_error", F.lit(False)).alias("err"))
+    return b.withColumn("kind", kind).where("kind is not null").select("session", "uuid", "row_id", "pos", "ms", "kind", F.when(F.col("kind") == "ask", F.col("b.text")).alias("text"), F.coalesce("b.id", "b.tool_use_id").alias("call_id"), F.coalesce("b.is_error", F.lit(False)).alias("err"))
 
 
 class LivePieces:
@@ -116,6 +116,23 @@ def settle(table: DataFrame, now_ms: int, quiet_ms: int = 1_800_000) -> DataFram
     return table.withColumn("lane", F.when(quiet, "final").otherwise(F.col("lane")))
 
 
+def since(records: DataFrame, activated_ms: int) -> DataFrame:
+    """Capture boundary: blocks of sessions whose first record is not older than the activation; earlier sessions stay out whole."""
+    first = records.groupBy("session").agg(F.min("ms").alias("first_ms"))
+    return records.join(first.where(F.col("first_ms") >= activated_ms).select("session"), "session", "left_semi")
+
+
+def live_session(files: DataFrame, now_ms: int, hours: int = 6) -> DataFrame:
+    """The file that was written last within ``hours``, as a view over (file, modified_ms, size); at a tie the larger name."""
+    return files.where(F.col("modified_ms") > now_ms - hours * 3_600_000).agg(F.max(F.struct("modified_ms", "file")).alias("m")).where("m is not null").select("m.file", "m.modified_ms")
+
+
+def rebased(pieces: DataFrame) -> DataFrame:
+    """Pieces numbered from each session's first kept piece: positions in the state are absolute, what is shown begins at 1."""
+    first = pieces.groupBy("session").agg(F.min("piece").alias("base"))
+    return pieces.join(first, "session").withColumn("piece", F.col("piece") - F.col("base") + 1).drop("base")
+
+
 def run_windows(events: DataFrame, name: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts per tumbling window and type of a stream (ts, event_type, value), with a watermark; the merged result."""
     spark = events.sparkSession
