@@ -74,3 +74,10 @@ def test_helpers():
     assert name_likeness("permissionMode", "permission_mode") == 1 and name_likeness("a.role", "a.speaker") == 1 and name_likeness("slug", "branch") == 0
     assert pattern_of_text("msg_1a4d6b26") == "msg_h" and pattern_of_text("/srv/work/x") == "/srv/*" and pattern_of_text("a b") == "text"
     assert cast("1e400", "num") is None and cast(True, "num") is None and cast(3, "str") == "3"
+
+
+def test_casts_lose_nothing():
+    from weftline.operators.drift import cast
+
+    assert cast(2**53, "num") == float(2**53) and cast(2**53 + 1, "num") is None and cast(10**400, "num") is None and cast(1.5, "num") == 1.5
+    assert cast("7", "num") == 7.0 and cast("007", "num") is None and cast("1.5", "num") == 1.5 and cast("1e3", "num") is None and cast("nan", "num") is None

@@ -2,8 +2,8 @@
 
 ``ingest`` enforces a target schema. A field of the declared type goes to its typed column; what is unknown or of
 another type stays as JSON in ``rescued``. Approved fields (``promoted``: later names of a target field) are replayed
-from the rescued part into the typed column, cast where the value allows it. Nothing read is lost: typed columns and
-``rescued`` hold together what the record held.
+from the rescued part into the typed column, cast where the value survives it. Typed columns and ``rescued`` hold
+together what the record held; of a key that a line names twice, the last value counts, as JSON readers have it.
 
 ``file_fields`` reads off the ingested table which field had which JSON type in which file: typed columns stand for their
 declared fields, ``replayed`` names those that came under another name or type, the rest is in ``rescued``. ``changes``
@@ -57,16 +57,22 @@ def json_type(v: object) -> str | None:
 
 
 def cast(v: object, kind: str) -> object:
-    """``v`` as a value of ``kind``, or None where it states none."""
+    """``v`` as a value of ``kind``, or None where it states none or would lose something: a whole number that no double
+    holds, or a text such as ``007`` that its number would not be written as, is left to be rescued."""
     t = json_type(v)
     if t == kind:
-        return json.dumps(v, ensure_ascii=False) if kind == "arr" else float(v) if kind == "num" else v
+        if kind == "num":
+            try:
+                return float(v) if float(v) == v else None
+            except OverflowError:
+                return None
+        return json.dumps(v, ensure_ascii=False) if kind == "arr" else v
     if kind == "str" and t in ("num", "bool"):
         return json.dumps(v)
     if kind == "num" and t == "str":
         try:
             x = float(v)
-            return x if math.isfinite(x) else None
+            return x if math.isfinite(x) and v in (repr(x), repr(int(x)) if x.is_integer() else "") else None
         except ValueError:
             return None
     if kind == "bool" and t == "str":
