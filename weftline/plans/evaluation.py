@@ -259,6 +259,7 @@ SQL = {
     "changed_files": "WITH f AS (SELECT feed, file_name, written_on, count(*) AS n_lines FROM raw_records WHERE raw IS NOT NULL GROUP BY ALL) SELECT feed, file_name, n_lines FROM (SELECT *, lag(n_lines) OVER (PARTITION BY feed ORDER BY written_on, file_name) AS before FROM f) WHERE before IS NULL OR before <> n_lines",
     "set_operations": _WITH + ", a AS (SELECT DISTINCT session FROM ev WHERE kind = 'tool'), b AS (SELECT DISTINCT session FROM ev WHERE kind = 'ask') SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)",
     "latest_snapshots": "SELECT id, arg_max(directory, row_id) FILTER (directory IS NOT NULL) AS directory, arg_max(machine, row_id) FILTER (machine IS NOT NULL) AS machine, count(*) AS snapshots FROM oc_session WHERE id IS NOT NULL GROUP BY id",
+    "input_entropy": _WITH + ", t AS (SELECT DISTINCT target FROM ev WHERE kind = 'tool' AND target <> ''), c AS (SELECT target, unnest(string_split(target, '')) AS ch FROM t) SELECT target, CAST(floor(entropy(ch) * 1e6 + 0.5) AS BIGINT) AS bits_e6 FROM c GROUP BY target",
     "hashed_features": _WITH + ", w AS (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z0-9'']+', ' ', 'g'), ' ')) AS word FROM ev WHERE kind = 'ask'), n AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word) SELECT word, n, list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split('w:' || word, ''), lambda x: ascii(x)::UBIGINT)), lambda h, x: ((xor(h, x) * 16777619::UBIGINT) & 4294967295::UBIGINT))::BIGINT % 8192 AS bucket FROM n",
     "tree_scores": _WITH + f", {_MV}, {_COUNTERS} SELECT session, 1 / (1 + exp(-(0.1::DOUBLE * CASE WHEN errs <= 2 THEN CASE WHEN checks <= 0 THEN 0.1::DOUBLE ELSE -1.0::DOUBLE END ELSE 1.2::DOUBLE END + 0.1::DOUBLE * CASE WHEN changes <= 0 THEN 0.4::DOUBLE ELSE -0.3::DOUBLE END))) AS score FROM sc",
 }

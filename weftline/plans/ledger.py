@@ -181,3 +181,9 @@ SQL = {
         SELECT session, piece, i, trigger FROM w WHERE kept""".replace("WITH\n", "WITH RECURSIVE\n", 1),
 }
 SQL["piece_backtracks"] = SQL["piece_backtracks"].replace("WITH\n", "WITH RECURSIVE\n", 1)
+
+from weftline.plans.work import SQL as _WORK_SQL  # noqa: E402
+
+SQL["label_inheritance"] = f"""WITH RECURSIVE own AS MATERIALIZED ({SQL["work_types"]}), up AS MATERIALIZED (SELECT b AS piece_id, m.a AS before FROM (SELECT b, max(struct_pack(c := confidence, a := a)) AS m FROM ({_WORK_SQL["continuations"]}) GROUP BY b) WHERE b IN (SELECT piece_id FROM own WHERE work_type IN ('other', 'follow_up') OR confidence < {WT.LOW})),
+        r AS (SELECT piece_id, piece_id AS top, 0 AS n FROM own UNION ALL SELECT r.piece_id, up.before, n + 1 FROM r JOIN up ON up.piece_id = r.top), e AS (SELECT piece_id, arg_max(top, n) AS top FROM r GROUP BY piece_id)
+        SELECT e.piece_id, own.work_type, e.top <> e.piece_id AS inherited FROM e JOIN own ON own.piece_id = e.top"""

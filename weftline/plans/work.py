@@ -269,5 +269,8 @@ SQL = {
         sm AS (SELECT a, b, regexp_matches(ask, {_Q(REFERS)}) OR length(ask) < 60 AS refers, coalesce(s, 0) AS s FROM bf LEFT JOIN co USING (a, b)),
         bs AS (SELECT b, max(struct_pack(s := s, ta := ta, a := a)) AS m FROM (SELECT xs.*, round(coalesce(co.s, 0) + CASE WHEN gap < 86400 THEN 0.1 ELSE 0 END, 9) AS s FROM xs LEFT JOIN co USING (a, b)) WHERE s > 0 GROUP BY b)
         SELECT a, b, round(CASE WHEN refers THEN 0.8::DOUBLE ELSE 0.6::DOUBLE + least(0.25, s / 2) END, 6) AS confidence FROM sm WHERE refers OR s >= 0.3 UNION ALL SELECT m.a, b, CASE WHEN m.s >= 0.25 THEN 0.78::DOUBLE ELSE 0.62::DOUBLE END FROM bs""",
+    "upload_bins": (_WITH + """, sz AS (SELECT session, count(*) AS size FROM ev WHERE kind = 'tool' GROUP BY session), rp AS (SELECT sessionId AS session, min(cwd) AS grp FROM claude WHERE sessionId IS NOT NULL AND cwd IS NOT NULL GROUP BY 1),
+        r AS MATERIALIZED (SELECT grp, session, size, row_number() OVER (PARTITION BY grp ORDER BY session) AS k FROM sz JOIN rp USING (session)), w AS (SELECT grp, session, size, k, 0::BIGINT AS bin, size AS held FROM r WHERE k = 1 UNION ALL
+        SELECT r.grp, r.session, r.size, r.k, CASE WHEN w.held + r.size > 200 THEN w.bin + 1 ELSE w.bin END, CASE WHEN w.held + r.size > 200 THEN r.size ELSE w.held + r.size END FROM w JOIN r ON r.grp = w.grp AND r.k = w.k + 1) SELECT grp, session, size, bin FROM w""").replace("WITH\n", "WITH RECURSIVE\n", 1),
     "positional_zip": _WITH + ", cl AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY row_id, pos) AS n, b.id AS call_id FROM block WHERE b.type = 'tool_use'), rs AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY row_id, pos) AS n, b.tool_use_id AS result_id FROM block WHERE b.type = 'tool_result') SELECT session, count(*) AS pairs, count(*) FILTER (call_id = result_id) AS same FROM cl FULL JOIN rs USING (session, n) GROUP BY session",
 }
