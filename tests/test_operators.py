@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -179,6 +180,40 @@ def test_evidence_is_whole(spark):
     assert got[9].startswith("[end] This piece's last event is [8]. The session continued for 1 more") and len(got) == 10
 
 
+def test_thoughts_of_a_long_session_find_their_event(spark):
+    from weftline.plans.extra import evidence
+
+    # Rows far enough apart that events and thoughts stand in many cuts; both sessions hold the same rows.
+    r = random.Random(4)
+    places = sorted(r.sample([(at * 9_001, pos) for at in range(150) for pos in range(3)], 240))
+    thinks = {s: set(r.sample(range(240), 60)) | {70, 71, 72, 239} for s in "st"}
+    events, thoughts, want = [], [], {}
+    for s, own in thinks.items():
+        i, waiting = 0, []
+        for n, (row_id, pos) in enumerate(places):
+            if n in own:
+                thoughts.append((s, row_id, pos, f"{s}{n}"))
+                waiting.append(f"{s}{n}")
+                continue
+            events.append((s, i, "ask" if i % 9 == 0 else "say", None, row_id, pos, f"m{i}", f"m{i}", None, None, None, None, None))
+            want |= {t: (f"{s}:{i // 9 + 1}", i, k) for k, t in enumerate(waiting)}
+            i, waiting = i + 1, []
+    ev = spark.createDataFrame(events, "session string, i long, kind string, ts timestamp, row_id long, pos int, text string, full string, tool string, target string, err boolean, denied boolean, r_text string")
+    out = evidence(ev, spark.createDataFrame(thoughts, "session string, row_id long, pos int, text string"), 14_000)
+    got = {}
+    for x in out.collect():
+        waiting = []
+        for line in x.evidence.split("\n"):
+            if line.startswith("[r] REASONING: "):
+                waiting.append(line.removeprefix("[r] REASONING: "))
+            elif waiting:
+                got |= {t: (x.piece_id, int(line[1 : line.index("]")]), k) for k, t in enumerate(waiting)}
+                waiting = []
+    assert got == want and "s239" not in got
+    # A frame that is open to the end costs the square of a session's rows.
+    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_facts_and_acts_read_the_end(spark):
     from weftline.operators import steps as S
     from weftline.operators.events import numbered, outcome_columns

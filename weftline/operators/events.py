@@ -63,7 +63,12 @@ def numbered(df: DataFrame, *more: str) -> DataFrame:
 
 def chat_events(claude: DataFrame, *more: str) -> DataFrame:
     """Events of a chat log (table ``claude`` or one of its schema); ``more`` may name pos, full (a message's whole text) and r_text (a call's whole result)."""
-    rec = distinct_records(claude).select("row_id", F.col("sessionId").alias("session"), F.col("ingested_at").cast("timestamp").alias("ts"), "message.role", "message.content")
+    return events_of(distinct_records(claude), *more)
+
+
+def events_of(records: DataFrame, *more: str) -> DataFrame:
+    """``chat_events`` of ``distinct_records``."""
+    rec = records.select("row_id", F.col("sessionId").alias("session"), F.col("ingested_at").cast("timestamp").alias("ts"), "message.role", "message.content")
     block = rec.select("row_id", "session", "ts", "role", F.posexplode("content").alias("pos", "b"))
     filled = F.coalesce(F.trim("b.text") != "", F.lit(False))
     kind = F.when((F.col("b.type") == "text") & filled & (F.col("role") == "user"), "ask").when((F.col("b.type") == "text") & filled, "say").when(F.col("b.type") == "tool_use", "tool")
@@ -81,7 +86,12 @@ def chat_events(claude: DataFrame, *more: str) -> DataFrame:
 
 def reasoning(claude: DataFrame) -> DataFrame:
     """(session, row_id, pos, text) of the agent's reasoning, each record once."""
-    rec = distinct_records(claude).select("row_id", F.col("sessionId").alias("session"), F.posexplode("message.content").alias("pos", "b"))
+    return reasoning_of(distinct_records(claude))
+
+
+def reasoning_of(records: DataFrame) -> DataFrame:
+    """``reasoning`` of ``distinct_records``."""
+    rec = records.select("row_id", F.col("sessionId").alias("session"), F.posexplode("message.content").alias("pos", "b"))
     return rec.where((F.col("b.type") == "thinking") & F.col("b.thinking").isNotNull()).select("session", "row_id", "pos", F.col("b.thinking").alias("text"))
 
 

@@ -11,7 +11,7 @@ from weftline.operators import events as E
 from weftline.operators import measures as M
 from weftline.operators import pieces
 from weftline.operators import steps as S
-from weftline.operators.stage import written
+from weftline.operators.stage import running, written
 from weftline.plans.evaluation import votes
 from weftline.plans.sessions import _HITS, _MV, _WITH
 from weftline.sources.tables import table
@@ -90,8 +90,10 @@ def evidence_texts(spark: SparkSession, d: str, cap: int = 14_000) -> DataFrame:
 
     The limits of a line are the reference's; secrets are redacted in the whole texts, before any is cut.
     """
-    claude = table(spark, d, "claude")
-    return evidence(E.chat_events(claude, "pos", "full", "r_text"), E.reasoning(claude), cap)
+    rec = E.distinct_records(table(spark, d, "claude"))
+    # Calls, results and reasoning are all read from it, so it is written once.
+    rec = written(rec.select("row_id", "sessionId", "ingested_at", F.struct("message.role", "message.content").alias("message")))
+    return evidence(E.events_of(rec, "pos", "full", "r_text"), E.reasoning_of(rec), cap)
 
 
 def evidence(events: DataFrame, reasoning: DataFrame, cap: int) -> DataFrame:
@@ -108,11 +110,12 @@ def evidence(events: DataFrame, reasoning: DataFrame, cap: int) -> DataFrame:
     near = F.concat(F.sequence(F.col("first") - 3, F.col("first") - 1), F.sequence(F.col("last") + 1, F.col("last") + 3))
     around = ends.select("session", "piece_id", F.explode(near).alias("i")).join(ev.select("session", "i", "body"), ["session", "i"])
     line = lambda mark: F.substring(F.concat(F.lit("["), F.col("i").cast("string"), F.lit("]" + mark), F.col("body")), 1, 1500)
-    # A thought goes before the event that follows it; of two at one event the order of delivery stands.
+    # A thought goes before the event that follows it; of two at one event the order of delivery stands. Read from the end,
+    # that event is the last one so far: a frame open to the end would be gone through anew for every row of a session.
     thought = reasoning.select("session", "row_id", "pos", F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("string").alias("piece_id"), "text")
     mixed = ev.select("session", "row_id", "pos", "i", "piece_id", F.lit(None).cast("string").alias("text")).unionByName(thought)
-    after = W.partitionBy("session").orderBy("row_id", "pos").rowsBetween(1, W.unboundedFollowing)
-    led = mixed.withColumn("next", F.first(F.when(F.col("i").isNotNull(), F.struct("i", "piece_id")), ignorenulls=True).over(after)).where("text is not null and next is not null")
+    back = mixed.withColumn("back", -F.col("row_id")).withColumn("back_pos", -F.col("pos"))
+    led = running(back, "session", "back", ["back", "back_pos"], lasts={"next": F.when(F.col("i").isNotNull(), F.struct("i", "piece_id"))}, before=True).where("text is not null and next is not null")
     led = led.select("next.piece_id", F.col("next.i").alias("i"), F.lit(0).alias("kind"), "row_id", "pos", F.concat(F.lit("[r] REASONING: "), flat(redact(F.col("text")), 900)).alias("l"))
     at = lambda df, mark: df.select("piece_id", "i", F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("row_id"), F.lit(0).alias("pos"), line(mark).alias("l"))
     rows = at(ev, " ").unionByName(at(around, "~")).unionByName(led)
